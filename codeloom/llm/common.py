@@ -41,9 +41,10 @@ def drop_cut(df: DataFrame) -> None:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def row_ids(df: DataFrame) -> DataFrame:
-    """Add ``row_id``, unique per row even where doc_id is null or repeated: stable as long as the input files are."""
-    return df.withColumn("row_id", F.monotonically_increasing_id())
+def row_ids(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """Add ``row_id``, a hash of id and text. It comes from the row alone, so every scan, retry and re-partitioning
+    gives the same value; rows that repeat both share it and share their result."""
+    return df.withColumn("row_id", F.xxhash64(F.col(id_column).cast("string"), F.lit("/"), F.col(text)))
 
 
 def components(edges: DataFrame, max_rounds: int = 40, check: Callable[[DataFrame], None] | None = None) -> DataFrame:

@@ -196,7 +196,7 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
 
 
 def kept_lines(rows: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
-    """``(row_id, kept array<int>)``: the lines of at least ``min_words`` words that no earlier line resembles.
+    """``(doc, row_id, kept array<int>)``: the lines of at least ``min_words`` words that no earlier line resembles.
 
     Lines of the same words are one class, named by its first line; only that one is compared. ``rows`` holds
     ``(doc, row_id, _text)``; earlier means smaller doc, row and line.
@@ -221,7 +221,7 @@ def kept_lines(rows: DataFrame, threshold: float = 0.8, min_words: int = 5) -> D
         rest = probe.join(other, (probe.word == other.word) & fits & near & (key("other_") < key("")))
         rest = cut(rest.select("row_id", "line", F.col("other_row_id").alias("other_row"), "other_line").distinct(), "rest")
         gone = gone.union(verified(rows, rest, threshold)).distinct()
-    return firsts.select("row_id", "line").join(gone, ["row_id", "line"], "left_anti").groupBy("row_id").agg(F.collect_list("line").alias("kept"))
+    return firsts.select("doc", "row_id", "line").join(gone, ["row_id", "line"], "left_anti").groupBy("doc", "row_id").agg(F.collect_list("line").alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -229,12 +229,13 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, min_words: int = 5, id_
 
     A line goes if any earlier line (by id, then row, then line; nulls first) has word sets of Jaccard similarity
     ``threshold`` or more; A-Z is lower-cased, words are runs without ASCII white space. Lines of fewer than
-    ``min_words`` different words are always kept. Null texts stay null with no line; empty texts are one line; an
+    ``min_words`` different words are always kept. Rows that repeat id and text are one document. Null texts stay null with no line; empty texts are one line; an
     empty table gives no rows. Columns already named n_lines or n_removed are replaced.
     """
-    whole = row_ids(docs.drop("n_lines", "n_removed", "row_id"))
+    whole = row_ids(docs.drop("n_lines", "n_removed", "row_id"), id_column, text)
     rows = whole.select(F.col(id_column).cast("long").alias("doc"), "row_id", F.col(text).alias("_text"))
-    joined = whole.join(kept_lines(rows, threshold, min_words).withColumnRenamed("row_id", "_row"), F.col("row_id") == F.col("_row"), "left")
+    kept = kept_lines(rows, threshold, min_words).withColumnsRenamed({"row_id": "_row", "doc": "_doc"})
+    joined = whole.join(kept, (F.col("row_id") == F.col("_row")) & F.col(id_column).cast("long").eqNullSafe(F.col("_doc")), "left")
     names = [c for c in whole.columns if c != "row_id"]
     at = names.index(text)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, lines, pii, simhash, topk, wavelet
+from . import bpe, decontam, langid, lines, pii, simhash, topk, wavelet
 from .common import shared_dir, table
 
 
@@ -52,7 +52,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash}
+def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio")
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam}
 
 ORACLE_SQL = {
     "op2_topk": """

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, cut
+from .common import components, cut, row_ids
 
 SEED = 42
 
@@ -108,3 +108,19 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     lows = classes.groupBy("component").agg(F.min("low").alias("component_id"))
     named = classes.select("fp", "component").join(lows, "component").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col("_id").alias(id_column), "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, blocks: int = 6, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each component: the smallest id (null first), then the smallest hash of the text.
+
+    Rows that repeat both id and text count as copies, so one of them stays.
+    """
+    keyed = row_ids(docs, id_column, text).withColumn("_key", F.struct(F.col(id_column).alias("i"), F.col("row_id").alias("r")))
+    classes = cut(near_duplicates(keyed, words, distance, blocks, "_key", text), "classes")
+    stay = classes.where(F.col("_key") == F.col("component_id")).groupBy(F.col("_key.r").alias("row_id")).agg(F.count("*").alias("n"))
+    once, often = stay.where("n = 1").select("row_id"), stay.where("n > 1").select("row_id")
+    rows = keyed.drop("_key")
+    kept = rows.join(once, "row_id", "left_semi")
+    if not often.isEmpty():
+        kept = kept.union(rows.join(often, "row_id", "left_semi").dropDuplicates(["row_id"]))
+    return kept.select(*docs.columns)
