@@ -6,6 +6,7 @@ bits. Access, counting and the k-th occurrence of a token come from the planes a
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from .bpe import slices
 MAGIC, BLOCK = b"CLWM", 512
 #: Ids a shard holds before the next document opens a new one.
 SHARD_IDS = 1 << 20
-CACHE_WORDS = 200_000
+CACHE_WORDS, CACHE_PIECES = 300_000, 1_000_000
 
 
 class WaveletMatrix:
@@ -148,34 +149,62 @@ def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatr
     return ids, np.frombuffer(data, "<u4", n, at + 8 * n), WaveletMatrix.from_bytes(memoryview(data)[at + 12 * n :])
 
 
-@lru_cache(2)
-def word_encoder(path: str):
-    import os
+#: Words in which letters, digits and the rest part alike in the tokenizer's own pattern, whatever stands around them:
+#: composed Latin letters and ASCII without the apostrophe.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+PIECES = re.compile("[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
 
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+class WordEncoder:
+    """Ids of words as little-endian uint32 bytes. The tokenizer drops white space and no piece crosses it, so each
+    distinct word, and below it each distinct piece of a plain word, is encoded once by the library and kept in a
+    bounded cache."""
 
+    def __init__(self, path: str):
+        import os
 
-def encode_words(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each text and its end id, end to end, with the counts.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    The tokenizer drops white space and no piece crosses it, so each distinct word between ASCII white space is encoded
-    once by the library and kept in a bounded cache.
-    """
-    tokenizer, cache = word_encoder(path)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        for a in range(0, len(pieces), 4096):
+            part = pieces[a : a + 4096]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.pieces[w] = np.array(e.ids, "<u4").tobytes()
+
+    def see(self, words: set[bytes]) -> None:
+        missing = words - self.words.keys()
+        if len(self.words) + len(missing) > CACHE_WORDS:
+            self.words.clear()
+            missing = words
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        parts: dict[bytes, list[str]] = {}
+        for w in missing:
+            t = w.decode("utf-8", "surrogatepass")
+            parts[w] = PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else [t]
+        self.learn([*{p for ps in parts.values() for p in ps} - self.pieces.keys()])
+        get = self.pieces.__getitem__
+        for w, ps in parts.items():
+            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+
+
+@lru_cache(2)
+def word_encoder(path: str) -> WordEncoder:
+    return WordEncoder(path)
+
+
+def encode_words(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each text and its end id, end to end, with the counts."""
+    encoder = word_encoder(path)
     end = np.array([end_id], "<u4").tobytes()
     words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    missing = [*{w for ws in words for w in ws} - cache.keys()]
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = [*{w for ws in words for w in ws}]
-    for a in range(0, len(missing), 4096):
-        part = missing[a : a + 4096]
-        for w, e in zip(part, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in part], add_special_tokens=False), strict=True):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
-    get = cache.__getitem__
+    encoder.see({w for ws in words for w in ws})
+    get = encoder.words.__getitem__
     found = [b"".join(map(get, ws)) + end for ws in words]
     return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
 
