@@ -80,3 +80,20 @@ def components(edges: DataFrame, max_rounds: int = 40, check: Callable[[DataFram
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = pairs.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+
+
+def sieve(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose ``key`` may be in the one column of ``ids``: all that are, and some that are not.
+
+    A bitmap of 65,536 words of 64 bits, 1 MB whatever the number of ids, is broadcast before a shuffle of large rows;
+    a full bitmap lets all rows pass, so a join on the ids must follow.
+    """
+
+    def parts(h):  # noqa: ANN001, ANN202
+        return F.pmod(h, F.lit(65_536)).alias("_word"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int").alias("_bit")
+
+    told = ids.select(*parts(F.xxhash64(ids.columns[0]))).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    word, bit = parts(F.xxhash64(key))
+    probed = df.withColumn("_word", word).withColumn("_bit", bit)
+    hit = probed.join(F.broadcast(told), "_word").where(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"))
+    return hit.select(*df.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, pii, simhash, topk, wavelet
+from . import bpe, decontam, langid, lines, passages, pii, simhash, topk, wavelet
 from .common import shared_dir, table
 
 
@@ -23,6 +23,12 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_passages(table(spark, sf_dir, "documents"))
+    told = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"))), ",")
+    return found.select("doc_id", "class_id", "n_links", "n_repeated_words", told.alias("spans"))
+
+
 def op4_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
     wavelet.write_shards(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
@@ -57,7 +63,7 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam}
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam}
 
 ORACLE_SQL = {
     "op2_topk": """
