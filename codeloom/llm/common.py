@@ -82,8 +82,9 @@ def components(edges: DataFrame, max_rounds: int = 40, check: Callable[[DataFram
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
 
 
-def sieve(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+def sieve(df: DataFrame, key: str, ids: DataFrame, rest: bool = False) -> DataFrame:
     """The rows of ``df`` whose ``key`` may be in the one column of ``ids``: all that are, and some that are not.
+    With ``rest`` the other rows, whose key is certainly not there.
 
     A bitmap of 65,536 words of 64 bits, 1 MB whatever the number of ids, is broadcast before a shuffle of large rows;
     a full bitmap lets all rows pass, so a join on the ids must follow.
@@ -95,5 +96,5 @@ def sieve(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     told = ids.select(*parts(F.xxhash64(ids.columns[0]))).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
     word, bit = parts(F.xxhash64(key))
     probed = df.withColumn("_word", word).withColumn("_bit", bit)
-    hit = probed.join(F.broadcast(told), "_word").where(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"))
-    return hit.select(*df.columns)
+    hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, _bit) & 1) = 1"), F.lit(False))
+    return probed.join(F.broadcast(told), "_word", "left").where(~hit if rest else hit).select(*df.columns)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, passages, pii, simhash, topk, wavelet
+from . import bpe, decontam, langid, lines, passages, pii, repeats, simhash, topk, wavelet
 from .common import shared_dir, table
 
 
@@ -63,7 +63,12 @@ def op9_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "cosine", "lcs_ratio", "answer_ratio")
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), length=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam, "op10_repeats": op10_repeats}
 
 ORACLE_SQL = {
     "op2_topk": """
