@@ -56,9 +56,9 @@ def fragment(texts: DataFrame, start: int, stop: int, most: int = 400) -> DataFr
 
 def trigrams(texts: DataFrame) -> DataFrame:
     """``gram, path``: the different trigrams of each text, lower-cased; a data-skipping index for ``grep``."""
-    t = F.lower("text")
-    grams = F.transform(F.sequence(F.lit(1), F.length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))
-    return texts.where(F.length("text") >= 3).select("path", F.explode(F.array_distinct(grams)).alias("gram"))
+    signs = texts.where(F.length("text") >= 3).select("path", F.split(F.lower("text"), "").alias("s"))
+    grams = F.transform(F.sequence(F.lit(0), F.size("s") - 3), lambda i: F.concat(F.get("s", i), F.get("s", i + 1), F.get("s", i + 2)))
+    return signs.select("path", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def trigram_candidates(index: DataFrame, pattern: str) -> DataFrame:
