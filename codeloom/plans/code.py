@@ -23,8 +23,8 @@ def code_lines(texts: DataFrame) -> DataFrame:
     """``path, n, line, code, quoted``: the line, its code with strings and comments blanked, and what stands in strings."""
     raw = numbered(texts)
     goes_on = F.col("line").rlike(r"^\s*\|")
-    whole = F.when(goes_on, F.regexp_replace("line", r'^\s*\|[^"]*("|$)', "")).otherwise(F.col("line"))
-    code = F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r'"(?:[^"]|"")*"', '""'), r'"[^"]+$', '"'), r"//.*$", "")
+    whole = F.when(goes_on, F.regexp_replace("line", r'^\s*\|(?:[^"]|"")*+("|$)', "")).otherwise(F.col("line"))
+    code = F.regexp_replace(F.regexp_replace(whole, r'"(?:[^"]|"")*+(?:"|$)', '""'), r"//.*$", "")
     quoted = F.when(goes_on, F.regexp_replace("line", r"^\s*\|", "")).otherwise(F.array_join(F.regexp_extract_all(F.regexp_replace("line", r'^([^"]*)//.*$', "$1"), F.lit(r'"((?:[^"]|"")*)("|$)'), F.lit(1)), " "))
     return raw.select("path", "n", "line", code.alias("code"), F.regexp_replace(quoted, "//.*$", "").alias("quoted"))
 
@@ -43,7 +43,7 @@ def routines(texts: DataFrame) -> DataFrame:
     found = text.select("path", F.posexplode(F.regexp_extract_all("t", F.lit(rf"(?iu)(?:^|\n)\s*(?:Асинх\s+)?(?:Процедура|Функция)\s+{NAME}\s*\(([^)]*\)\s*(?:Экспорт)?)"), F.lit(1))).alias("k", "rest"))
     heads = head.select("path", F.col("n").alias("start_line"), F.initcap(F.regexp_extract("code", HEADER, 1)).alias("word"), F.regexp_extract("code", HEADER, 2).alias("name"), nth.alias("k"))
     joined = heads.join(ends, ["path", "k"], "left").join(found.select("path", (F.col("k") + 1).alias("k"), "rest"), ["path", "k"], "left")
-    params = F.filter(F.transform(F.split(F.split_part("rest", F.lit(")"), F.lit(1)), ","), F.trim), lambda p: p != "")
+    params = F.filter(F.transform(F.split(F.split_part("rest", F.lit(")"), F.lit(1)), ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
     bare = F.transform(params, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?iu)^Знач\s+", ""), "=.*$", "")))
     defaults = F.transform(params, lambda p: p.contains("="))
     first = F.array_position(defaults, True)
