@@ -195,6 +195,12 @@ def verified(rows: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return two.where(same >= (F.size("w") + F.size("v") - same) * F.lit(threshold) - F.lit(1e-9)).select("row_id", "line").distinct()
 
 
+def prefix_entries(lines: DataFrame) -> DataFrame:
+    """One row per prefix word of a line. A word that occurs once in all texts joins no two lines and is left out."""
+    entries = lines.select("doc", "row_id", "line", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "word"))
+    return entries.where(F.shiftright("word", 32) > 1)
+
+
 def kept_lines(rows: DataFrame, threshold: float = 0.8, min_words: int = 5) -> DataFrame:
     """``(doc, row_id, kept array<int>)``: the lines of at least ``min_words`` words that no earlier line resembles.
 
@@ -205,13 +211,14 @@ def kept_lines(rows: DataFrame, threshold: float = 0.8, min_words: int = 5) -> D
     place = F.struct("doc", "row_id", "line")
     first = lines.groupBy("h", "n", "s1", "s2").agg(F.min(place).alias("p"), F.min("prefix").alias("prefix"))
     firsts = cut(first.select("p.doc", "p.row_id", "p.line", "n", "s1", "s2", "prefix"), "lines")
-    entries = firsts.select("doc", "row_id", "line", "n", "s1", "s2", F.posexplode("prefix").alias("pos", "word"))
+    entries = prefix_entries(firsts)
     found = cut(candidate_pairs(entries, threshold).distinct(), "pairs")
     gone = verified(rows, found.where("other_row is not null"), threshold)
     more = found.where("other_row is null").select("row_id", "line")
     if not more.isEmpty():
         gone = cut(gone, "gone")
-        probe = more.join(gone, ["row_id", "line"], "left_anti").join(entries, ["row_id", "line"])
+        open_lines = cut(more.join(gone, ["row_id", "line"], "left_anti"), "open")
+        probe = cut(prefix_entries(firsts.join(open_lines, ["row_id", "line"])), "probe")  # files of known size: the planner need not move all entries for a few lines
         other = entries.select([F.col(c).alias(c if c == "word" else f"other_{c}") for c in entries.columns])
         n, m = F.col("n"), F.col("other_n")
         need = F.ceil(F.lit(threshold / (1 + threshold)) * (n + m) - F.lit(1e-9))
