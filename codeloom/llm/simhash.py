@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, cut, row_ids
+from .common import components, cut, drop_cut, row_ids, sieve
 
 SEED = 42
 
@@ -110,17 +110,125 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
     return prints.join(named, "fp").select(F.col("_id").alias(id_column), "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, distance: int = 3, blocks: int = 6, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each component: the smallest id (null first), then the smallest hash of the text.
+#: Buckets of the sketch of shingle frequencies.
+SKETCH = 1 << 18
 
-    Rows that repeat both id and text count as copies, so one of them stays.
+
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """``(row_id, node long, n int, h array<long>)``: the distinct shingle hashes of every ``_text`` and a hash of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1 << 20):
+                part = batch.slice(a, b - a)
+                sets, nodes = [], []
+                for t in part.column(1).to_pylist():
+                    hashes: list[int] = []
+                    shingle_hashes(t or "", words, hashes)
+                    sets.append(np.unique(np.array(hashes, np.uint64)))
+                    nodes.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED))
+                size = np.array([len(x) for x in sets], np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(size), lists], ["row_id", "node", "n", "h"])
+
+    return rows.select("row_id", "_text").mapInArrow(run, "row_id long, node long, n int, h array<long>")
+
+
+def common_buckets(sets: DataFrame) -> np.ndarray:
+    """About how often the shingles of each bucket occur. Each task tells only what stands out: the counts give an order,
+    and any order leads to the same pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        some = np.flatnonzero(total > 1 + 2 * total.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["bucket", "n"])
+
+    out = np.zeros(SKETCH, np.int64)
+    for r in sets.select("h").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["bucket"]] = r["n"]
+    return out
+
+
+def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(k long, node long, n int)``: the rarest shingles of every set, so many that sets of the similarity share one."""
+    shared = sets.sparkSession.sparkContext.broadcast(common_buckets(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = shared.value
+        for batch in batches:
+            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            h = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            owner = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((h, often[(h % np.uint64(SKETCH)).astype(np.int64)], owner))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+            first = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            some = place < first[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][some].view(np.int64)), pa.array(node[owner[some]]), pa.array(size[owner[some]])], ["k", "node", "n"])
+
+    return sets.select("node", "n", "h").mapInArrow(run, "k long, node long, n int")
+
+
+def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
+    """``(node long, component long)`` of the rows of ``shingle_sets`` over all pairs of distinct sets whose Jaccard similarity reaches ``threshold``.
+
+    Such sets share one of their rarest shingles (prefix filter), so no pair is missed. First each set meets the
+    smallest node of each shingle; then, where a shingle still joins several components, the sets outside the largest
+    one meet the others of it. Copies and large groups of near copies so never expand into all pairs. Every pair is
+    verified on the whole sets.
+    """
+    keys = cut(prefix_rows(sets, threshold), "keys")
+    lowest = F.min(F.struct("node", "n"))
+    centres = cut(keys.groupBy("k").agg(lowest.alias("c"), F.max("node").alias("top")).where("c.node <> top").select("k", "c"), "centres")
+    met = cut(sieve(keys, "k", centres.select("k")).join(centres, "k").select("k", "node", "n", "c").distinct(), "met")
+    drop_cut(keys)
+    drop_cut(centres)
+    named = sets.groupBy("node").agg(F.min("row_id").alias("row_id"))
+    fits = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
+
+    def links(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = cut(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        # One row of each set that is a candidate; only these are shuffled.
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        some = cut(sieve(named, "node", wanted).join(wanted, "node").select("row_id"), "wanted")
+        whole = sieve(sets, "row_id", some).join(some, "row_id", "left_semi").dropDuplicates(["row_id", "node"]).select("node", "n", "h")
+        left = whole.select(F.col("node").alias("a"), F.col("h").alias("g"), F.col("n").alias("m"))
+        both = pairs.join(left, "a").join(whole.withColumnRenamed("node", "b"), "b")
+        same = F.size(F.array_intersect("g", "h"))
+        return cut(both.where(same >= threshold * (F.col("n") + F.col("m") - same) - 1e-9).select("a", "b"), name)
+
+    star = met.where("node <> c.node").select(F.col("node").alias("a"), "n", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
+    found = links(star, "star")
+    linked = cut(components(found), "linked")
+    told = met.join(linked, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component"))
+    told = cut(told, "told")
+    parts = told.groupBy("k", "component").agg(F.count("*").alias("many")).groupBy("k").agg(F.max_by("component", "many").alias("large"), F.count("*").alias("parts"))
+    mixed = parts.where("parts > 1").select("k", "large")
+    outside = told.join(mixed, "k").where("component <> large").select("k", F.col("node").alias("a"), "n", F.col("component").alias("one"))
+    others = told.select("k", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("two"))
+    more = links(outside.join(others, "k").where("one <> two"), "more")
+    return linked if more.isEmpty() else components(found.union(more))
+
+
+def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, one of each group of near copies: the smallest id (null first), then the smallest hash of
+    the text.
+
+    Texts are near copies if the Jaccard similarity of their sets of ``words``-word shingles reaches ``threshold``;
+    groups are the connected components. Texts without words are copies of each other; rows that repeat both id and
+    text count as copies, so one of them stays.
     """
-    keyed = row_ids(docs, id_column, text).withColumn("_key", F.struct(F.col(id_column).alias("i"), F.col("row_id").alias("r")))
-    classes = cut(near_duplicates(keyed, words, distance, blocks, "_key", text), "classes")
-    stay = classes.where(F.col("_key") == F.col("component_id")).groupBy(F.col("_key.r").alias("row_id")).agg(F.count("*").alias("n"))
-    once, often = stay.where("n = 1").select("row_id"), stay.where("n > 1").select("row_id")
-    rows = keyed.drop("_key")
-    kept = rows.join(once, "row_id", "left_semi")
+    rows = row_ids(docs, id_column, text)
+    prints = cut(shingle_sets(rows.select("row_id", F.col(text).alias("_text")), words), "sets")
+    linked = similar_sets(prints.where("n > 0"), threshold)
+    ids = rows.select(F.col(id_column).alias("i"), "row_id").distinct()
+    named = prints.select("row_id", "node").distinct().join(linked, "node", "left").join(ids, "row_id").select("row_id", F.struct("i", F.col("row_id").alias("r")).alias("_key"), F.coalesce("component", "node").alias("component"))
+    stay = cut(named.groupBy("component").agg(F.min("_key").alias("_key")).select("_key.r").withColumnRenamed("r", "row_id"), "stay")
+    kept = sieve(rows, "row_id", stay).join(stay, "row_id", "left_semi")
+    often = kept.groupBy("row_id").count().where("count > 1").select("row_id")
     if not often.isEmpty():
-        kept = kept.union(rows.join(often, "row_id", "left_semi").dropDuplicates(["row_id"]))
+        kept = kept.join(often, "row_id", "left_anti").union(kept.join(often, "row_id", "left_semi").dropDuplicates(["row_id"]))
     return kept.select(*docs.columns)
