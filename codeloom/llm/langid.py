@@ -7,14 +7,13 @@ labels are learned, so a text may switch languages. Marginals come from forward-
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -95,7 +94,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, span: int = 48, s
     """Fit by AdaGrad on the conditional likelihood of spans that are joined across languages.
 
     A document's language is the label of each of its words; chains of one to three spans of different documents give
-    the switches that the transitions are learned from. At most ``most`` spans of a language are drawn from the sample.
+    the switches that the transitions are learned from. At most ``most`` spans of a language are drawn from the sample,
+    however few another language has.
     """
     labels = sorted(set(langs))
     rng = np.random.default_rng(seed)
@@ -106,12 +106,10 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, span: int = 48, s
     model = Model(labels, np.zeros((BUCKETS, len(labels)), np.float32), np.zeros((len(labels), len(labels)), np.float32))
     if len(labels) < 2 or not pieces:
         return model
-    counts = Counter(label for _, label in pieces)
-    share = max(1, min(counts.values()))
     kept = []
     for label in range(len(labels)):
         own = [p for p in pieces if p[1] == label]
-        kept += [own[i] for i in rng.permutation(len(own))[: min(most, 3 * share)]]
+        kept += [own[i] for i in rng.permutation(len(own))[: most]]
     buckets: dict[str, np.ndarray] = {}
     for ws, _ in kept:
         for w in ws:
@@ -157,18 +155,22 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, span: int = 48, s
     return model
 
 
-def sample(docs: DataFrame, per_language: int, id_column: str, text: str, lang: str) -> DataFrame:
-    """About ``per_language`` labelled texts of each language, by a hash, with a bound that does not grow."""
+def sample(docs: DataFrame, per_language: int, max_languages: int, id_column: str, text: str, lang: str) -> DataFrame:
+    """About ``per_language``, at most that many, labelled texts of each language, by a hash; the ``max_languages``
+    languages with the most texts."""
     labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
-    sizes = labelled.groupBy(lang).agg(F.count("*").alias("_n"))
+    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count("*").alias("_n")).orderBy(F.desc("_n"), "_lang").limit(max_languages)
     place = F.pmod(F.xxhash64(F.col(id_column).cast("string"), F.lit("sample")), F.lit(1_000_000)) / F.lit(1e6)
-    picked = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), place.alias("_p")).join(F.broadcast(sizes.limit(4096).withColumnRenamed(lang, "_lang")), "_lang")
-    return picked.where(F.col("_p") * F.col("_n") < per_language).select("_text", "_lang", "_p")
+    picked = labelled.select(F.col(text).alias("_text"), F.col(lang).alias("_lang"), place.alias("_p")).join(F.broadcast(sizes), "_lang")
+    picked = picked.where(F.col("_p") * F.col("_n") < per_language)
+    nth = F.row_number().over(Window.partitionBy("_lang").orderBy("_p", F.xxhash64("_text")))
+    return picked.withColumn("_nth", nth).where(F.col("_nth") <= per_language).select("_text", "_lang", "_p")
 
 
 def fit(docs: DataFrame, per_language: int = 400, max_languages: int = 64, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Train on a bounded sample of labelled rows: at most ``per_language * max_languages`` texts reach the driver."""
-    rows = sample(docs, per_language, id_column, text, lang).orderBy("_p", "_lang").limit(per_language * max_languages).select("_text", "_lang").toLocalIterator()
+    """Train on a bounded sample of labelled rows: at most ``per_language`` texts of each of the ``max_languages``
+    languages with the most texts reach the driver; further languages are not learned."""
+    rows = sample(docs, per_language, max_languages, id_column, text, lang).orderBy("_p", "_lang").select("_text", "_lang").toLocalIterator()
     texts, langs = [], []
     for r in rows:
         texts.append(r["_text"])
