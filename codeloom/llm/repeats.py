@@ -1,71 +1,42 @@
-"""Exact removal of repeated byte strings over prefix-free phrases.
+"""Exact removal of repeated byte strings by prefix-free parsing.
 
 A rolling hash triggers phrase boundaries: the trigger of a window of W positions is its smallest k-gram hash, so equal
-windows have the same trigger at the same place. Every string of ``length`` bytes belongs to the trigger of its first W
-positions. Strings of one trigger form a phrase with its context; equal phrase contexts (the dictionary) repeat as a
-whole, which settles repetitive text phrase by phrase. Phrases that share only the bytes after their trigger go on with
-their own bytes, where their strings are put in order and neighbours compared.
+windows have the same trigger at the same place. A phrase holds the strings of ``length`` bytes whose first W positions
+have its trigger. Distinct phrases are the dictionary; one that repeats as a whole is settled as a whole.
+
+The others are put in corpus order where they share the bytes after their trigger. A string is a suffix of the phrase's
+head (the bytes before the trigger) and then the text from the trigger on, its parse suffix. Heads, read from the
+trigger to the left, are sorted as the suffixes of the dictionary, parse suffixes are sorted as the suffix array of the
+parse, both with the common prefixes of neighbours taken on bytes. For each length of the head part the two orders cut
+into classes, and the pair of classes is the place of a string in the corpus order: strings with one pair are equal.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import cut, row_ids, sieve
+from .common import cut, drop_cut, row_ids, sieve
+from .tokens import Rolled, mix, raw_texts
 
 GRAM = 16
-#: The odd base of the polynomial hash, its inverse modulo 2 ** 64, and a mixing multiplier.
-BASE = 0xD1342543DE82EF95
-INVERSE = pow(BASE, -1, 1 << 64)
-MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Phrases of one context from which their strings are dealt by value instead of by context.
+#: Distinct phrases of one context from which their strings are dealt by value instead of by context.
 HOT = 50_000
 BATCH_BYTES = 8 << 20
-
-
-@lru_cache(8)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, BASE, np.uint64), np.full(size, INVERSE, np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@lru_cache(1)
-def _values() -> np.ndarray:
-    return np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * MIX
-    return x ^ (x >> np.uint64(29))
-
-
-class Rolled:
-    """Hashes of any range of a byte array in constant time each."""
-
-    def __init__(self, data: np.ndarray):
-        size = 1 << max(20, len(data).bit_length())
-        up, self.down = _powers(size)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_values()[data] * up[: len(data)], out=self.sums[1:])
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        return mix((self.sums[stop] - self.sums[start]) * self.down[start])
+#: Bits of a gram's hash that order it; the rest hold its place, so equal windows choose alike in every batch.
+PLACE_BITS = np.uint64(32)
 
 
 def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
     """Place of the smallest hash (of equal ones the first) of every ``width`` neighbours, by block prefix and suffix
     minima."""
-    n = len(hashes)
-    bits = np.uint64(max(20, n.bit_length()))
+    n, bits = len(hashes), PLACE_BITS
     keys = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
     rows = -(-n // width)
     padded = np.full(rows * width, np.iinfo(np.uint64).max, np.uint64)
@@ -110,7 +81,7 @@ def phrase_rows(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
-                found = phrases_of([(t or "").encode("utf-8", "surrogatepass") for t in part.column(1).to_pylist()], length)
+                found = phrases_of(raw_texts(part.column(1).to_pylist()), length)
                 if found is not None:
                     row = part.column(0).to_numpy()[found["doc"]]
                     yield pa.RecordBatch.from_arrays([pa.array(found["k1"].view(np.int64)), pa.array(found["k2"].view(np.int64)), pa.array(row), *[pa.array(found[k].astype(np.int32)) for k in ("lo", "a", "hi")]], ["k1", "k2", "row_id", "lo", "a", "hi"])
@@ -118,69 +89,107 @@ def phrase_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("row_id", "_text").mapInArrow(run, "k1 long, k2 long, row_id long, lo int, a int, hi int")
 
 
-def string_hashes(data: list[bytes], k1: np.ndarray, before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every string of ``length`` bytes of some phrases: (its hash with k1 and its place to the trigger, phrase, offset)."""
-    sizes = np.array([len(x) for x in data])
-    rolled = Rolled(np.frombuffer(b"".join(data), np.uint8))
-    many = sizes - length + 1
-    owner = np.repeat(np.arange(len(data)), many)
-    offset = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-    start = offset + (np.cumsum(sizes) - sizes)[owner]
-    place = (before[owner] - offset).astype(np.uint64)
-    return mix(rolled.of(start, start + length) ^ mix(k1[owner] + place * MIX)), owner, offset
+def _sorted(flat: np.ndarray, at: np.ndarray, step: int, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the byte strings that run from ``at`` by ``step`` over ``size`` bytes, padded to ``width`` with zeros, and
+    how many bytes each shares with the one before it in that order."""
+    column = np.arange(width)
+    inside = column[None, :] < size[:, None]
+    cells = np.where(inside, flat[np.where(inside, at[:, None] + step * column[None, :], 0)], 0).astype(np.uint8)
+    order = np.argsort(np.ascontiguousarray(cells).view(f"S{width}").ravel(), kind="stable")
+    cells = cells[order]
+    shared = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        apart = np.ones((len(order) - 1, width + 1), bool)
+        np.not_equal(cells[1:], cells[:-1], out=apart[:, :width])
+        shared[1:] = apart.argmax(axis=1)
+    return order, shared
+
+
+def repeated_starts(data: list[bytes], before: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of some phrases, each with ``before`` bytes ahead of its trigger: (phrase, offset) of every string of ``length``
+    bytes that another phrase holds at the same place to its trigger."""
+    none = np.zeros(0, np.int64)
+    if len(data) < 2:
+        return none, none
+    n = len(data)
+    size = np.fromiter(map(len, data), np.int64, n)
+    flat = np.frombuffer(b"".join(data), np.uint8)
+    trigger = np.cumsum(size) - size + before
+    after = size - before
+    heads, shared_head = _sorted(flat, trigger - 1, -1, before, max(1, int(before.max())))
+    tails, shared_tail = _sorted(flat, trigger, 1, after, length)
+    phrase, offset = [none], [none]
+    head_class, tail_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(max(0, length - int(after.max())), int(before.max()) + 1):
+        live = np.flatnonzero((before >= d) & (after >= length - d))
+        if len(live) < 2:
+            continue
+        head_class[heads] = np.cumsum(shared_head < d)
+        tail_class[tails] = np.cumsum(shared_tail < length - d)
+        place = head_class[live] * (n + 1) + tail_class[live]
+        order = np.argsort(place, kind="stable")
+        same = place[order][1:] == place[order][:-1]
+        hit = np.zeros(len(live), bool)
+        hit[order[1:][same]] = True
+        hit[order[:-1][same]] = True
+        phrase.append(live[hit])
+        offset.append(before[live[hit]] - d)
+    return np.concatenate(phrase), np.concatenate(offset)
 
 
 def _runs(row: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Neighbouring starts of a row in one: (row, start, end of what they cover)."""
+    if not len(row):
+        return row, start, start
     order = np.lexsort((start, row))
     row, start = row[order], start[order]
-    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])) if len(row) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)]))
     last = np.append(first[1:], len(row)) - 1
     return row[first], start[first], start[last] + length
 
 
-def _repeated(hashes: np.ndarray) -> np.ndarray:
-    order = np.argsort(hashes)
-    same = hashes[order][1:] == hashes[order][:-1]
-    out = np.zeros(len(hashes), bool)
-    out[order[1:][same]] = True
-    out[order[:-1][same]] = True
-    return out
+OPEN = "k1 long, row_id long, lo int, before int, single boolean, data binary, x binary"
 
 
 def open_phrases(hits: DataFrame, rows: DataFrame, length: int) -> DataFrame:
-    """The bytes of the phrases that are still open, ``(k1, row_id, lo, before, data)``; strings of hot contexts come
-    one by one as ``(k1, row_id, lo, x)``. The texts are met once, after a sieve."""
-
-    def run(keys: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
-        out = {"k1": [], "row_id": [], "lo": [], "before": [], "data": [], "x": []}
-        if len(texts) and len(told):
-            raw = (texts["_text"].iloc[0] or "").encode("utf-8", "surrogatepass")
-            for k1, lo, a, hi, hot in zip(told["k1"], told["lo"], told["a"], told["hi"], told["hot"], strict=True):
-                data = raw[lo : hi + length]
-                if not hot:
-                    cells = [(int(k1), int(lo), int(a - lo), data, None)]
-                else:
-                    x, _, offset = string_hashes([data], np.array([k1], np.int64).view(np.uint64), np.array([a - lo]), length)
-                    cells = [(int(k1), int(lo + o), None, None, int(h)) for o, h in zip(offset, x.view(np.int64), strict=True)]
-                for k, s, before, d, h in cells:
-                    for name, value in (("k1", k), ("row_id", int(keys[0])), ("lo", s), ("before", before), ("data", d), ("x", h)):
-                        out[name].append(value)
-        return pd.DataFrame(out).astype({"before": "Int32", "x": "Int64"})
-
-    near = sieve(rows.select("row_id", "_text"), "row_id", hits.select("row_id")).groupBy("row_id").cogroup(hits.groupBy("row_id"))
-    return near.applyInPandas(run, "k1 long, row_id long, lo int, before int, data binary, x long")
+    """The bytes of the phrases that are still open, ``(k1, row_id, lo, before, single, data)``; strings of hot contexts
+    come one by one, by a hash of 128 bits: ``(k1, row_id, lo, single, x)``. The texts are met once, after a sieve, each
+    with the list of its own phrases, which its length bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("k1", pa.int64()), ("row_id", pa.int64()), ("lo", pa.int32()), ("before", pa.int32()), ("single", pa.bool_()), ("data", pa.binary()), ("x", pa.binary())])
+        for batch in batches:
+            for a, b in slices(batch.column(1), 1 << 20):
+                part = batch.slice(a, b - a)
+                made: list[tuple] = []
+                for row, raw, told in zip(part.column(0).to_pylist(), raw_texts(part.column(1).to_pylist()), part.column(2).to_pylist(), strict=True):
+                    for p in told:
+                        data = raw[p["lo"] : p["hi"] + length]
+                        if not p["hot"]:
+                            made.append((p["k1"], row, p["lo"], p["a"] - p["lo"], p["single"], data, None))
+                            continue
+                        for o in range(len(data) - length + 1):
+                            made.append((p["k1"], row, p["lo"] + o, None, p["single"], None, xxhash.xxh3_128_digest(data[o : o + length])))
+                        if len(made) > 100_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+                            made = []
+                if made:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made, strict=True), schema, strict=True)], schema=schema)
+
+    lists = hits.groupBy("row_id").agg(F.collect_list(F.struct("k1", "lo", "a", "hi", "single", "hot")).alias("told"))
+    near = sieve(rows.select("row_id", "_text"), "row_id", hits.select("row_id")).join(lists, "row_id")
+    return near.select("row_id", "_text", "told").mapInArrow(run, OPEN)
 
 
 def resolved(phrases: DataFrame, length: int) -> DataFrame:
-    """Strings of open phrases that another phrase of the same context holds too: ``(row_id, s, e)``."""
+    """Strings of single open phrases that another phrase of the same context holds too: ``(row_id, s, e)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(t: pa.Table) -> pa.RecordBatch:
-            k1 = t.column("k1").to_numpy().view(np.uint64)
-            x, owner, offset = string_hashes(t.column("data").to_pylist(), k1, t.column("before").to_numpy(), length)
-            hit = _repeated(x)
-            row, s, e = _runs(t.column("row_id").to_numpy()[owner[hit]], t.column("lo").to_numpy()[owner[hit]] + offset[hit], length)
+            owner, offset = repeated_starts(t.column("data").to_pylist(), t.column("before").to_numpy().astype(np.int64), length)
+            wanted = t.column("single").to_numpy()[owner]
+            owner, offset = owner[wanted], offset[wanted]
+            row, s, e = _runs(t.column("row_id").to_numpy()[owner], t.column("lo").to_numpy()[owner] + offset, length)
             return pa.RecordBatch.from_arrays([pa.array(row), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], ["row_id", "s", "e"])
 
         held = None
@@ -198,25 +207,29 @@ def resolved(phrases: DataFrame, length: int) -> DataFrame:
         if held is not None and len(held):
             yield solve(held)
 
-    dealt = phrases.where("x is null").select("k1", "row_id", "lo", "before", "data").repartition("k1").sortWithinPartitions("k1")
+    dealt = phrases.where("x is null").select("k1", "row_id", "lo", "before", "single", "data").repartition("k1").sortWithinPartitions("k1")
     return dealt.mapInArrow(run, "row_id long, s int, e int")
 
 
 def repeated_ranges(rows: DataFrame, length: int = 200) -> DataFrame:
     """``(row_id, s, e)``: byte ranges of every document that strings of ``length`` bytes starting elsewhere cover.
 
-    Two phrases are equal if their two 64-bit hashes are, two strings if that of their context and their own are.
+    Two whole phrases are equal if two hashes of 64 bits each are; strings of different phrases are compared on bytes,
+    in contexts of more than ``HOT`` different phrases by hashes of 128 bits.
     """
-    by_context, whole = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
-    counted = phrase_rows(rows, length).select("*", F.count("*").over(by_context).alias("n1"), F.count("*").over(whole).alias("n2"), F.row_number().over(whole.orderBy("row_id", "lo")).alias("nth"))
-    hits = cut(counted.where("n1 > 1").select("k1", "row_id", "lo", "a", "hi", F.expr("n2 > 1").alias("full"), F.expr("n1 > n2 and nth = 1").alias("open"), F.expr(f"n1 > {HOT}").alias("hot")), "phrases")
-    full = hits.where("full").select("row_id", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
-    phrases = open_phrases(hits.where("open").select("row_id", "k1", "lo", "a", "hi", "hot"), rows, length)
-    phrases = cut(phrases, "open")
-    strings = phrases.where("x is not null").select("k1", "x", "row_id", "lo")
-    often = strings.groupBy("k1", "x").agg(F.count("*").alias("n")).where("n > 1")
-    hot = strings.join(often, ["k1", "x"], "left_semi").select("row_id", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
-    return full.union(resolved(phrases, length)).union(hot)
+    phrases = cut(phrase_rows(rows, length), "phrases")
+    dictionary = phrases.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.min(F.struct("row_id", "lo", "a", "hi")).alias("p"))
+    known = dictionary.withColumn("g", F.count("*").over(Window.partitionBy("k1")))
+    hits = cut(known.where("n > 1 or g > 1").select("k1", "k2", "p.*", F.expr("n = 1").alias("single"), F.expr("g > 1").alias("open"), F.expr(f"g > {HOT}").alias("hot")), "dictionary")
+    often = hits.where("not single").select("k1", "k2")
+    full = sieve(phrases, "k2", often.select("k2")).join(often, ["k1", "k2"], "left_semi").select("row_id", F.col("lo").alias("s"), (F.col("hi") + length).alias("e"))
+    full = cut(full, "full")
+    drop_cut(phrases)
+    opened = cut(open_phrases(hits.where("open").select("row_id", "k1", "lo", "a", "hi", "single", "hot"), rows, length), "open")
+    strings = opened.where("x is not null").select("x", "row_id", "lo", "single")
+    again = strings.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+    hot = strings.where("single").join(again, "x", "left_semi").select("row_id", F.col("lo").alias("s"), (F.col("lo") + length).alias("e"))
+    return full.union(resolved(opened, length)).union(hot)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text: str = "text") -> DataFrame:
