@@ -160,5 +160,10 @@ def place_line(place: str | Column) -> Column:
     return F.when(found != "", found.cast("int"))
 
 
+def place_module(place: str | Column) -> Column:
+    """Name of the module in ``{Module.Path(12,3)}``; null where there is none."""
+    return F.nullif(F.regexp_extract(_c(place), r"\{([^{}()]+)\(\d+", 1), F.lit(""))
+
+
 def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x

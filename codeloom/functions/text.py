@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from .names import _c
 
-# Words of a question that say nothing about a practice.
-STOP_WORDS = (
-    "как", "что", "где", "когда", "мне", "нам", "это", "этот", "для", "или", "если", "чтобы",
-    "надо", "нужно", "хочу", "можно", "ли", "же", "бы", "не", "на", "из", "по", "в", "во",
-)
-
-
 def identifier_tokens(text: str | Column) -> Column:
     """Lower-case parts of an identifier: split at ``_ . ( ) ,`` and white space, and where a capital follows another sign."""
     split = F.regexp_replace(F.regexp_replace(_c(text), r"(?<=[^\p{Lu}])(?=\p{Lu})", " "), r"[_.(),\s]+", " ")
@@ -22,16 +15,17 @@ def identifier_tokens(text: str | Column) -> Column:
 
 def term_tokens(text: str | Column, least: int = 3, most: int = 12) -> Column:
     """Distinct tokens of letters and digits of at least ``least`` signs, the longest ``most`` (then by name)."""
-    camel = F.regexp_replace(_c(text), r"(?<=[^\p{Lu}])(?=\p{Lu})", " ")
-    found = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(camel, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), F.lower), lambda x: F.length(x) >= least))
-    ranked = F.array_sort(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    camel = F.lower(F.regexp_replace(_c(text), r"(?<=[^\p{Lu}])(?=\p{Lu})", " "))
+    found = F.array_distinct(F.regexp_extract_all(camel, F.lit(rf"[\p{{L}}\p{{N}}]{{{least},}}"), F.lit(0)))
+    ranked = F.sort_array(F.transform(found, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
     return F.transform(F.slice(ranked, 1, most), lambda s: s["x"])
 
 
-def question_words(text: str | Column) -> Column:
-    """Words of a question without stop words, first occurrence first."""
+def question_words(text: str | Column, stop_words: list[str] = ()) -> Column:
+    """Words of a question without the given stop words, first occurrence first."""
     words = F.transform(F.regexp_extract_all(_c(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower)
-    return F.array_except(words, F.array(*[F.lit(w) for w in STOP_WORDS]))
+    none = F.expr("cast(array() as array<string>)")
+    return F.array_except(words, F.array(*[F.lit(w) for w in stop_words]) if stop_words else none)
 
 
 def stems(words: str | Column) -> Column:

@@ -28,10 +28,30 @@ def changes(known: DataFrame, current: DataFrame) -> DataFrame:
     return k.join(c, "key", "full_outer").select(F.coalesce("cp", "kp").alias("path"), kind.alias("change")).where("change is not null")
 
 
-def partial_allowed(changed: DataFrame, total: int, share: float = 0.2, extension: str = ".bsl") -> bool:
-    """Whether a partial rebuild will do: nothing removed, only module files, at most ``share`` of all files."""
-    row = changed.agg(F.count("*").alias("n"), F.count_if(F.col("change") == "removed").alias("gone"), F.count_if(~F.lower("path").endswith(extension)).alias("other")).first()
-    return row["gone"] == 0 and row["other"] == 0 and row["n"] <= share * max(1, total)
+def gate(changed: DataFrame, known: DataFrame, share: float = 0.2, extension: str = ".bsl") -> DataFrame:
+    """One row ``allowed``: whether a partial rebuild will do, with nothing removed, only module files changed, and at
+    most ``share`` of all known files."""
+    sums = changed.agg(F.count("*").alias("n"), F.count_if(F.col("change") == "removed").alias("gone"), F.count_if(~F.lower("path").endswith(extension)).alias("other"))
+    return sums.crossJoin(F.broadcast(known.agg(F.count("*").alias("total")))).select(((F.col("gone") == 0) & (F.col("other") == 0) & (F.col("n") <= share * F.greatest("total", F.lit(1)))).alias("allowed"))
+
+
+def partial_allowed(changed: DataFrame, known: DataFrame, share: float = 0.2, extension: str = ".bsl") -> bool:
+    return gate(changed, known, share, extension).first()["allowed"]
+
+
+def module_info(changed: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path, module_id, owner_id`` of changed module files; null where the index does not know them."""
+    modules = nodes.where("kind = 'Module'").select(F.col("source_path").alias("path"), F.col("id").alias("module_id"))
+    owners = edges.where("kind = 'Contains'").select(F.col("target_id").alias("module_id"), F.col("source_id").alias("owner_id"))
+    return changed.select("path").join(modules, "path", "left").join(owners, "module_id", "left").select("path", "module_id", "owner_id")
+
+
+def repair_calls(calls: DataFrame, lost: DataFrame) -> DataFrame:
+    """Calls ``(target_id, detail, ...)`` after a partial re-index: those of routines that are ``lost(id)`` become calls of
+    an external name again, all others stay."""
+    gone_ids = lost.select(F.col("id").alias("target_id")).distinct().withColumn("lost", F.lit(True))
+    met = calls.join(gone_ids, "target_id", "left")
+    return met.withColumn("target_id", F.when(F.col("lost"), F.concat(F.lit("call:"), "detail")).otherwise(F.col("target_id"))).select(*calls.columns)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: str, scope: DataFrame) -> DataFrame:

@@ -75,12 +75,18 @@ def incoming(edges: DataFrame, id_: str, kind: str | None = None, limit: int | N
     return outgoing(edges, id_, kind, limit, "target_id")
 
 
-def callers(edges: DataFrame, id_: str) -> DataFrame:
-    return edges.where((F.col("kind") == "Calls") & (F.col("target_id") == id_)).select("source_id").distinct()
+def _ends(edges: DataFrame, id_: str, end: str, other: str, limit: int | None) -> DataFrame:
+    found = edges.where((F.col("kind") == "Calls") & (F.col(end) == id_)).select(other).distinct()
+    return found.orderBy(other).limit(limit) if limit else found
 
 
-def callees(edges: DataFrame, id_: str) -> DataFrame:
-    return edges.where((F.col("kind") == "Calls") & (F.col("source_id") == id_)).select("target_id").distinct()
+def callers(edges: DataFrame, id_: str, limit: int | None = None) -> DataFrame:
+    """Different callers; in order of id, at most ``limit``, where one is given."""
+    return _ends(edges, id_, "target_id", "source_id", limit)
+
+
+def callees(edges: DataFrame, id_: str, limit: int | None = None) -> DataFrame:
+    return _ends(edges, id_, "source_id", "target_id", limit)
 
 
 def callers_by_text(edges: DataFrame, callee: str) -> DataFrame:
@@ -104,14 +110,11 @@ def usage_summary(refs: DataFrame, readers: int = 10) -> DataFrame:
 
     Ties: more uses first, then the reader's id; the first use has the smallest line (null last), context, detail.
     """
-    kinds = refs.groupBy("target_id").agg(
-        F.count("*").alias("total"),
-        F.count_if(F.col("context").isin("code", "query")).alias("uses_metadata"),
-        F.count_if(~F.col("context").isin("code", "query")).alias("refers"),
-        F.countDistinct("source_id").alias("readers"),
-    )
     first = F.min(F.struct(F.coalesce("line", F.lit(2**31 - 1)).alias("l"), F.col("context").alias("c"), F.coalesce("detail", F.lit("")).alias("d")))
-    per = refs.groupBy("target_id", "source_id").agg(F.count("*").alias("n"), first.alias("f"))
+    uses = F.count_if(F.col("context").isin("code", "query"))
+    per = refs.groupBy("target_id", "source_id").agg(F.count("*").alias("n"), uses.alias("u"), first.alias("f"))
+    # Totals are sums over the readers, which are far fewer than the references.
+    kinds = per.groupBy("target_id").agg(F.sum("n").alias("total"), F.sum("u").alias("uses_metadata"), (F.sum("n") - F.sum("u")).alias("refers"), F.count("*").alias("readers"))
     rank = F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("n"), "source_id"))
     top = per.withColumn("rank", rank).where(F.col("rank") <= readers)
     return top.join(kinds, "target_id").select("target_id", "total", "uses_metadata", "refers", "readers", "rank", "source_id", "n", F.nullif(F.col("f.l"), F.lit(2**31 - 1)).alias("first_line"), F.col("f.c").alias("first_context"))
@@ -215,10 +218,13 @@ def cards(nodes: DataFrame, edges: DataFrame, per_side: int = 40) -> DataFrame:
     """Per node: degrees and the first ``per_side`` edges of each side as text, by kind, line and other end."""
 
     def side(end: str, other: str, name: str) -> DataFrame:
-        order = Window.partitionBy(end).orderBy("kind", F.col("line").asc_nulls_first(), other, F.col("detail").asc_nulls_first())
-        ranked = edges.select(end, other, "kind", "line", "detail", F.row_number().over(order).alias("r"), F.count("*").over(Window.partitionBy(end)).alias("n")).where(F.col("r") <= per_side)
-        packed = F.array_sort(F.collect_list(F.struct("r", "kind", other)))
-        return ranked.groupBy(F.col(end).alias("id")).agg(F.max("n").alias(f"n_{name}"), F.array_join(F.transform(packed, lambda x: F.concat_ws(" ", x["kind"], x[other])), ";").alias(name))
+        own = edges.withColumnRenamed(end, "id")
+        order = Window.partitionBy("id").orderBy("kind", F.col("line").asc_nulls_first(), other, F.col("detail").asc_nulls_first())
+        # The rank alone, so that each task keeps the first few edges of a hub before the shuffle; counts combine too.
+        ranked = own.select("id", other, "kind", "line", "detail", F.row_number().over(order).alias("r")).where(F.col("r") <= per_side)
+        packed = F.sort_array(F.collect_list(F.struct("r", "kind", other)))
+        first = ranked.groupBy("id").agg(F.array_join(F.transform(packed, lambda x: F.concat_ws(" ", x["kind"], x[other])), ";").alias(name))
+        return own.groupBy("id").agg(F.count("*").alias(f"n_{name}")).join(first, "id")
 
     out = nodes.select("id", "kind", "name").join(side("source_id", "target_id", "outgoing"), "id", "left").join(side("target_id", "source_id", "incoming"), "id", "left")
     return out.select("id", "kind", "name", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_outgoing", "n_incoming")], *[F.coalesce(c, F.lit("")).alias(c) for c in ("outgoing", "incoming")])
@@ -256,3 +262,32 @@ def tree_cards(objects: DataFrame) -> DataFrame:
     leaf = kids.groupBy("parent_id").agg(F.array_sort(F.collect_list("id")).alias("items")).withColumnRenamed("parent_id", "id")
     mid = kids.join(leaf, "id", "left").groupBy("parent_id").agg(F.array_sort(F.collect_list(F.struct("kind", "id", F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")))).alias("children"))
     return objects.where("parent_id is null").select("id").join(mid.withColumnRenamed("parent_id", "id"), "id", "left")
+
+
+def call_ranks(edges: DataFrame, nodes: DataFrame, kind: str = "Platform", most: int = 3, edge_kind: str = "Calls") -> DataFrame:
+    """``source_id, target_id, n, rank``: what of the platform each routine uses most, ties by target."""
+    targets = nodes.where(F.col("kind") == kind).select(F.col("id").alias("target_id"))
+    used = edges.where(F.col("kind") == edge_kind).join(targets, "target_id", "left_semi").groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("n"), "target_id"))
+    return used.withColumn("rank", rank).where(F.col("rank") <= most)
+
+
+def ranked_with_owner(edges: DataFrame, symbols: DataFrame, limit: int, prefix: str = "") -> DataFrame:
+    """The most called routines with symbol, module and owner of the module: three left joins after the top ones."""
+    top = rank_routines(edges, limit, prefix)
+    named = symbols.select(F.col("node_id").alias("id"), "name", "module_path")
+    owners = edges.where("kind = 'Contains'").select(F.col("target_id").alias("module_path"), F.col("source_id").alias("owner_id"))
+    return top.join(named, "id", "left").join(owners, "module_path", "left").select("id", "uses", "callers", "name", "module_path", "owner_id")
+
+
+def type_info(objects: DataFrame, refs: DataFrame, most: int = 8) -> DataFrame:
+    """``id, types``: different targets of the own type references, then of those of the owner whose detail holds the
+    name of the child; at most ``most``, own first, then by target."""
+    typed = refs.where("context = 'type'")
+    own = objects.select("id").join(typed.select(F.col("source_id").alias("id"), "target_id"), "id").select("id", "target_id", F.lit(0).alias("stage"))
+    child = objects.where("parent_id is not null").select("id", "name", "parent_id")
+    of_owner = child.join(typed.select(F.col("source_id").alias("parent_id"), "target_id", "detail"), "parent_id").where(F.contains("detail", "name")).select("id", "target_id", F.lit(1))
+    first = own.union(of_owner).groupBy("id", "target_id").agg(F.min("stage").alias("stage"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("stage", "target_id"))
+    kept = first.withColumn("r", rank).where(F.col("r") <= most)
+    return kept.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "target_id"))), lambda s: s["target_id"]), ",").alias("types"))

@@ -54,17 +54,28 @@ def fragment(texts: DataFrame, start: int, stop: int, most: int = 400) -> DataFr
     return told.select("path", "first", "last", "total", F.array_join(F.slice("all", F.col("first"), F.col("last") - F.col("first") + 1), "\n").alias("text"))
 
 
-def trigrams(texts: DataFrame) -> DataFrame:
-    """``gram, path``: the different trigrams of each text, lower-cased; a data-skipping index for ``grep``."""
-    signs = texts.where(F.length("text") >= 3).select("path", F.split(F.lower("text"), "").alias("s"))
-    grams = F.transform(F.sequence(F.lit(0), F.size("s") - 3), lambda i: F.concat(F.get("s", i), F.get("s", i + 1), F.get("s", i + 2)))
+def _wanted(pattern: str) -> list[str]:
+    p = pattern.lower()
+    return sorted({p[i : i + 3] for i in range(len(p) - 2)})
+
+
+def trigrams(texts: DataFrame, pattern: str | None = None) -> DataFrame:
+    """``gram, path``: the different trigrams of each text, lower-cased; a data-skipping index for ``grep``.
+
+    With a pattern only its trigrams are made, by a test of each on the text: no other gram is ever a row.
+    """
+    if pattern is not None:
+        low = F.lower("text")
+        held = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in _wanted(pattern)]))
+        return texts.select("path", F.explode(held).alias("gram"))
+    signs = texts.where(F.length("text") >= 3).select("path", F.lower("text").alias("s"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("s") - 2), lambda i: F.substring(F.col("s"), i, F.lit(3)))
     return signs.select("path", F.explode(F.array_distinct(grams)).alias("gram"))
 
 
 def trigram_candidates(index: DataFrame, pattern: str) -> DataFrame:
     """Paths that hold every trigram of the pattern (three signs or more): a superset of the files with hits."""
-    p = pattern.lower()
-    wanted = sorted({p[i : i + 3] for i in range(len(p) - 2)})
+    wanted = _wanted(pattern)
     return index.where(F.col("gram").isin(*wanted)).groupBy("path").agg(F.countDistinct("gram").alias("n")).where(F.col("n") == len(wanted)).select("path")
 
 
@@ -105,8 +116,25 @@ def by_owner(hits: DataFrame, owners: DataFrame) -> DataFrame:
 def comment_heads(numbered: DataFrame, starts: DataFrame, marker: str = "//", most: int = 3) -> DataFrame:
     """Up to ``most`` comment lines right above each ``starts(path, n)``, blank and ``&`` lines skipped."""
     quiet = F.trim("line").startswith("&") | (F.trim("line") == "")
-    kept = numbered.where(~quiet | F.lit(False)).join(starts.withColumn("start", F.lit(True)), ["path", "n"], "left")
-    back = Window.partitionBy("path").orderBy("n").rowsBetween(-most, -1)
-    seen = kept.withColumn("above", F.collect_list(F.trim("line")).over(back)).where("start")
-    taken = F.aggregate(F.reverse("above"), F.struct(F.expr("cast(array() as array<string>)").alias("a"), F.lit(True).alias("go")), lambda s, x: F.struct(F.when(s["go"] & x.startswith(marker), F.concat(F.array(x), s["a"])).otherwise(s["a"]).alias("a"), (s["go"] & x.startswith(marker)).alias("go")))
-    return seen.select("path", "n", F.array_join(taken["a"], "\n").alias("comment_head"))
+    kept = numbered.where(~quiet).join(starts.withColumn("start", F.lit(True)), ["path", "n"], "left")
+    back = Window.partitionBy("path").orderBy("n")
+    above = [F.coalesce(F.trim(F.lag("line", k).over(back)), F.lit("")) for k in range(1, most + 1)]
+    seen = kept.select("path", "n", "start", *[a.alias(f"c{k}") for k, a in enumerate(above)]).where("start")
+    # A comment counts as long as all below it are comments too.
+    goes, lines_ = F.lit(True), []
+    for k in range(most):
+        goes = goes & F.col(f"c{k}").startswith(marker)
+        lines_.insert(0, F.when(goes, F.col(f"c{k}")))
+    return seen.select("path", "n", F.concat_ws("\n", *lines_).alias("comment_head"))
+
+
+def decorated(hits: DataFrame, owners: DataFrame, symbols: DataFrame, layers: DataFrame) -> DataFrame:
+    """``path, n, line, owner, routine, source_index, overridden`` of hits ``(path, n, line)``: the owner of the file, the
+    narrowest routine around the line, the layer that the file comes from and whether it overrides another."""
+    from .changes import overlay
+
+    at = narrowest_routine(hits.select(F.col("path").alias("module_path"), F.col("n").alias("line")).distinct(), symbols)
+    at = at.select(F.col("module_path").alias("path"), F.col("line").alias("n"), "routine")
+    won = overlay(layers).select(F.lower("path").alias("key"), "source_index", "overridden")
+    out = hits.withColumn("key", F.lower("path")).join(owners.select("path", "owner"), "path", "left").join(at, ["path", "n"], "left").join(won, "key", "left")
+    return out.select("path", "n", "line", "owner", "routine", "source_index", "overridden")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens
@@ -20,14 +20,19 @@ def _lower(*columns: str) -> list[Column]:
     return [F.lower(F.col(c)) for c in columns]
 
 
-def search_graph(nodes: DataFrame, degrees: DataFrame, query: str, synonym: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
-    """Ten ranks over id, name, synonym, kind and path without case, then degree, then id: ``id, score, degree``."""
+def search_graph(nodes: DataFrame, edges: DataFrame, query: str, synonym: str | None = None, limit: int = 30, offset: int = 0) -> DataFrame:
+    """Ten ranks over id, name, synonym, kind and path without case, then degree, then id: ``id, score, degree``.
+
+    Degrees are counted for the hits alone.
+    """
     q = query.strip().lower()
     i, n, k, p = _lower("id", "name", "metadata_kind", "source_path")
     s = F.lower(F.col(synonym)) if synonym else F.lit(None).cast("string")
     score = ladder([(i == q, 0), (n == q, 1), (s == q, 2), (i.startswith(q), 3), (n.startswith(q), 4), (i.contains(q), 5), (n.contains(q), 6), (k.contains(q), 7), (s.contains(q), 8), (p.contains(q), 9)])
-    hits = nodes.withColumn("score", score).where("score is not null")
-    ranked = hits.join(degrees, "id").select("id", "score", (F.col("incoming") + F.col("outgoing")).alias("degree"))
+    hits = nodes.select("id", score.alias("score")).where("score is not null")
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    degrees = ends.join(hits.select("id"), "id", "left_semi").groupBy("id").agg(F.count("*").alias("degree"))
+    ranked = hits.join(degrees, "id", "left").select("id", "score", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     return ranked.orderBy("score", F.desc("degree"), "id").offset(offset).limit(limit)
 
 
@@ -41,7 +46,8 @@ def search_index(nodes: DataFrame, query: str, limit: int = 20, kinds: list[str]
 
 
 def staged(hits: DataFrame, stage: str = "stage") -> DataFrame:
-    """Only the hits of the first stage that has any: the fallback of a search from exact to loose in one pass."""
+    """Only the hits of the first stage that has any: the fallback of a search from exact to loose in one pass. A page is
+    not topped up from later stages."""
     return hits.crossJoin(F.broadcast(hits.agg(F.min(stage).alias("_first")))).where(F.col(stage) == F.col("_first")).drop("_first")
 
 
@@ -63,11 +69,10 @@ def search_nested(items: DataFrame, query: str, limit: int = 20, kinds: list[str
     return found.withColumn("rank", rank).where("rank is not null").orderBy("rank", F.length("name"), "name", "id").limit(limit).select("id", "name", "rank")
 
 
-def resolve(nodes: DataFrame, degrees: DataFrame, reference: str, limit: int = 10) -> DataFrame:
-    """The node of that id; where there is none, the search."""
-    exact = nodes.where(F.col("id") == reference.strip()).select("id", F.lit(0).alias("stage"), F.lit(0).alias("score"), F.lit(0).cast("long").alias("degree"))
-    found = search_graph(nodes, degrees, reference, limit=limit).select("id", F.lit(1).alias("stage"), "score", "degree")
-    return staged(exact.union(found)).select("id", "stage")
+def resolve(nodes: DataFrame, edges: DataFrame, reference: str, limit: int = 10) -> DataFrame:
+    """The node of that id; where there is none, the search, which else is not planned at all."""
+    exact = nodes.where(F.col("id") == reference.strip()).select("id", F.lit(0).alias("stage"))
+    return search_graph(nodes, edges, reference, limit=limit).select("id", F.lit(1).alias("stage")) if exact.isEmpty() else exact
 
 
 def terms(docs: DataFrame, id_column: str, text: str, pattern: str = r"[\p{L}\p{N}]+") -> DataFrame:
@@ -118,7 +123,3 @@ def topic_aliases(topics: DataFrame) -> DataFrame:
 def find_topics(wanted: DataFrame, topics: DataFrame) -> DataFrame:
     """Topic of each ``wanted(alias)``: an equi-join on the aliases, the smallest name where several fit."""
     return wanted.join(topic_aliases(topics), "alias").groupBy("alias").agg(F.min("name").alias("name"))
-
-
-def ranked_per(rows: DataFrame, partition: str, order: list[Column | str], most: int) -> DataFrame:
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(partition).orderBy(*order))).where(F.col("_r") <= most).drop("_r")

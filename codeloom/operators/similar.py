@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import identifier_tokens
+from ..plans.settle import settle
+
 # Weights of the feature categories, of the size penalty, and the least score.
 WEIGHTS = {"call": 0.40, "metadata": 0.28, "query": 0.18, "name": 0.14, "term": 0.08}
 SIZE_PENALTY, LINE_SHARE, STATEMENT_SHARE, LEAST = 0.10, 0.7, 0.3, 0.05
@@ -22,13 +25,36 @@ def feature_weights(features: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(whole)).select("category", "value", "rows", F.log(F.col("all") / F.col("holders")).alias("weight"), "all")
 
 
-def candidates(features: DataFrame, drafts: DataFrame, least_cap: int = 32, share: int = 50) -> DataFrame:
+def rare_features(features: DataFrame, least_cap: int = 32, share: int = 50) -> DataFrame:
+    """The features rare enough to gather candidates by, with their weights."""
+    return feature_weights(features).where(F.col("rows") < F.greatest(F.lit(least_cap), F.floor(F.col("all") / share)))
+
+
+def routine_features(calls: DataFrame, accesses: DataFrame, tables: DataFrame, routines: DataFrame) -> DataFrame:
+    """``path, routine, category, value``: what a routine calls, the metadata it uses in code and queries, and the parts of
+    its name; each once."""
+    named = routines.select("path", F.col("name").alias("routine"), F.lit("name").alias("category"), F.explode(identifier_tokens("name")).alias("value"))
+    inside = F.col("routine").isNotNull()
+    out = calls.where(inside).select("path", "routine", F.lit("call").alias("category"), F.lower("method").alias("value"))
+    out = out.union(accesses.where(inside).select("path", "routine", F.lit("metadata"), "target_id")).union(tables.where(inside).select("path", "routine", F.lit("query"), "target_id"))
+    return out.union(named).distinct()
+
+
+def profiles(features: DataFrame, examples: int = 5) -> DataFrame:
+    """``id, category, n, examples``: how many different features a routine has per category, and the first by name."""
+    each = features.select("id", "category", "value").distinct()
+    rank = F.row_number().over(Window.partitionBy("id", "category").orderBy("value"))
+    first = each.withColumn("r", rank).where(F.col("r") <= examples).groupBy("id", "category").agg(F.sort_array(F.collect_list("value")).alias("examples"))
+    return each.groupBy("id", "category").agg(F.count("*").alias("n")).join(first, ["id", "category"])
+
+
+def candidates(features: DataFrame, drafts: DataFrame, least_cap: int = 32, share: int = 50, rare: DataFrame | None = None) -> DataFrame:
     """``draft, id, category, shared, gained, size``: routines that share a feature below the cap with a draft.
 
     ``drafts`` has the columns of ``features``. The join is on the feature, after common ones are gone, so the rows per
     feature are bounded by the cap.
     """
-    rare = feature_weights(features).where(F.col("rows") < F.greatest(F.lit(least_cap), F.floor(F.col("all") / share)))
+    rare = rare_features(features, least_cap, share) if rare is None else rare
     own = drafts.join(rare, ["category", "value"]).select(F.col("id").alias("draft"), "category", "value", "weight")
     met = features.distinct().join(own, ["category", "value"]).where("id <> draft")
     sizes = features.groupBy("id", "category").agg(F.countDistinct("value").alias("size"))
@@ -40,8 +66,8 @@ def score(features: DataFrame, drafts: DataFrame, shape: DataFrame, least_cap: i
     """``draft, id, score``: per category gained weight over the draft's weight times min(1, sqrt(shared / size)),
     summed by the weights of the categories present, less a penalty for another size; ``shape`` is ``(id, lines,
     statements)``. Order: score, lines, id."""
-    met = candidates(features, drafts, least_cap, share)
-    rare = feature_weights(features).where(F.col("rows") < F.greatest(F.lit(least_cap), F.floor(F.col("all") / share)))
+    rare = settle(rare_features(features, least_cap, share))
+    met = candidates(features, drafts, rare=rare)
     whole = drafts.join(rare, ["category", "value"]).groupBy(F.col("id").alias("draft"), "category").agg(F.sum("weight").alias("most"))
     weight = F.coalesce(*[F.when(F.col("category") == c, F.lit(w)) for c, w in WEIGHTS.items()])
     part = weight * F.col("gained") / F.col("most") * F.least(F.lit(1.0), F.sqrt(F.col("shared") / F.col("size")))

@@ -29,13 +29,13 @@ def code_lines(texts: DataFrame) -> DataFrame:
     return raw.select("path", "n", "line", code.alias("code"), F.regexp_replace(quoted, "//.*$", "").alias("quoted"))
 
 
-def routines(texts: DataFrame) -> DataFrame:
+def routines(texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``path, kind, name, is_export, start_line, end_line, parameters array, total, required`` of every routine.
 
     The k-th header of a module closes at the k-th end; parameters may stand on several lines, so they are cut from the
     text that the lines from the header on make.
     """
-    code = code_lines(texts)
+    code = code_lines(texts) if lines is None else lines
     head, tail = code.where(F.col("code").rlike(HEADER)), code.where(F.col("code").rlike(END))
     nth = F.row_number().over(Window.partitionBy("path").orderBy("n"))
     ends = tail.select("path", F.col("n").alias("end_line"), nth.alias("k"))
@@ -90,7 +90,8 @@ def accesses(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def query_tables(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``path, routine, line, target_id, context='query'``: tables after ИЗ and СОЕДИНЕНИЕ in strings.
+    """``path, routine, line, target_id, context='query'``: tables after ИЗ and СОЕДИНЕНИЕ in strings; virtual tables are
+    cut to their first two segments, temporary tables, which have one segment, never match.
 
     A keyword may end the line before, so the tail of the last non-blank string line is carried over by a window.
     """
@@ -103,18 +104,78 @@ def query_tables(texts: DataFrame, found: DataFrame) -> DataFrame:
     return named.select("path", "routine", F.col("n").alias("line"), F.concat("kind", F.lit("."), F.split_part("x", F.lit("."), F.lit(2))).alias("target_id"), F.lit("query").alias("context"))
 
 
-def declared(texts: DataFrame, found: DataFrame) -> DataFrame:
+def declared(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """``path, routine, name, line``: variables that a routine declares or assigns first, and loop variables."""
-    code = code_lines(texts).where(~F.col("code").rlike(HEADER))
+    code = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
     patterns = (rf"(?iu)^\s*({NAME})\s*=", rf"(?iu)^\s*Перем\s+({NAME})", rf"(?iu)^\s*Для\s+(?:Каждого\s+)?({NAME})\s")
     names = F.filter(F.array(*[F.regexp_extract("code", p, 1) for p in patterns]), lambda x: x != "")
     hit = inside(code.select("path", "n", F.explode(names).alias("name")), found).where("routine is not null")
     return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.min(F.struct("n", "name")).alias("f")).select("path", "routine", "f.name", F.col("f.n").alias("line"))
 
 
+def names_read(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """``path, routine, name``: names that a routine reads; what stands left of an assignment is not read."""
+    body = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
+    right = F.regexp_replace("code", rf"(?iu)^\s*(?:{NAME}\s*=(?!=)|Перем\s.*$|Для\s+(?:Каждого\s+)?{NAME}\s)", " ")
+    names = F.array_distinct(F.regexp_extract_all(right, F.lit(rf"(?<![\p{{L}}\p{{N}}_.])({NAME})"), F.lit(1)))
+    return inside(body.select("path", "n", F.explode(names).alias("name")), found).where("routine is not null").select("path", "routine", "name").distinct()
+
+
+def call_sites(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+    """``path, routine, line, qualifier, method, args, used``: calls of a line that are not arguments of another one,
+    how many arguments they have, and whether their result is used (not so where the call is the statement)."""
+    body = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
+    # Brackets inside brackets go, so that commas left in an argument list part its arguments.
+    flat = F.col("code")
+    for _ in range(4):
+        flat = F.regexp_replace(flat, r"(\([^()]*)\([^()]*\)", "$1")
+    pattern = rf"(?<![\p{{L}}\p{{N}}_.])((?:{NAME}\.)*{NAME})\s*\(([^()]*)\)"
+    at = body.select("path", "n", flat.alias("code"))
+    hit = at.select("path", "n", "code", F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("call"))
+    callee, inner = F.regexp_extract("call", pattern, 1), F.regexp_extract("call", pattern, 2)
+    alone = F.regexp_replace(F.col("code"), r"^\s+|[\s;]+$", "") == F.col("call")
+    told = hit.select("path", "n", callee.alias("callee"), F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ","))).alias("args"), (~alone).alias("used"))
+    free = inside(told, found).where(~F.lower(F.substring_index("callee", ".", -1)).isin(*KEYWORDS))
+    qualifier = F.when(F.contains("callee", F.lit(".")), F.regexp_replace("callee", r"\.[^.]*$", ""))
+    return free.select("path", "routine", F.col("n").alias("line"), qualifier.alias("qualifier"), F.substring_index("callee", ".", -1).alias("method"), "args", "used")
+
+
+def functions_without_return(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """Functions in which no line returns a value."""
+    returns = inside(lines.where(F.col("code").rlike(r"(?iu)(?<![\p{L}\p{N}_.])Возврат\s+[^;\s]")).select("path", "n"), found).select("path", F.col("routine").alias("name")).distinct()
+    return found.where("kind = 'Function'").join(returns, ["path", "name"], "left_anti")
+
+
+def after_return(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """``path, routine, line``: the first statement after a line that returns, where no block ends or branches between."""
+    full = lines.select("path", "n", F.trim("code").alias("c")).where("c <> ''")
+    w = Window.partitionBy("path").orderBy("n")
+    told = full.select("path", F.lead("n").over(w).alias("n"), F.lead("c").over(w).alias("next"), F.col("c").rlike(r"(?iu)^Возврат(?![\p{L}\p{N}_]).*;$").alias("returns"))
+    closing = r"(?iu)^(Конец\p{L}*|Иначе\p{L}*|Исключение|#.*|~.*)"
+    hit = told.where(F.col("returns") & F.col("next").isNotNull() & ~F.col("next").rlike(closing)).select("path", "n")
+    return inside(hit, found).where("routine is not null").select("path", "routine", F.col("n").alias("line"))
+
+
+def visible(points: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, line, name``: parameters of the routine around each ``points(path, line)`` and variables declared in it up
+    to that line."""
+    at = inside(points.select("path", F.col("line").alias("n")).distinct(), found).where("routine is not null")
+    parameters = found.select("path", F.col("name").alias("routine"), F.explode("parameters").alias("name"), F.lit(0).alias("from"))
+    names = parameters.union(declared(texts, found).select("path", "routine", "name", "line"))
+    return at.join(names, ["path", "routine"]).where(F.col("from") <= F.col("n")).select("path", F.col("n").alias("line"), "name").distinct()
+
+
 def inferred_types(texts: DataFrame, found: DataFrame) -> DataFrame:
     """``path, routine, name, line, type`` of ``X = Новый T`` assignments; the last one before a line is its type."""
     code = code_lines(texts)
     p = rf"(?iu)^\s*({NAME})\s*=\s*Новый\s+({NAME})"
     hit = inside(code.select("path", "n", F.regexp_extract("code", p, 1).alias("name"), F.regexp_extract("code", p, 2).alias("type")).where("name <> ''"), found)
     return hit.select("path", "routine", "name", F.col("n").alias("line"), "type")
+
+
+def last_types(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """``path, routine, name, type``: the type by the last assignment; null where that creates no object."""
+    body = code_lines(texts).where(~F.col("code").rlike(HEADER))
+    name, made = F.regexp_extract("code", rf"(?iu)^\s*({NAME})\s*=(?!=)", 1), F.regexp_extract("code", rf"(?iu)=\s*Новый\s+({NAME})", 1)
+    hit = inside(body.select("path", "n", name.alias("name"), F.nullif(made, F.lit("")).alias("type")).where("name <> ''"), found).where("routine is not null")
+    return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("n", "name", "type")).alias("l")).select("path", "routine", "l.name", "l.type")

@@ -84,9 +84,34 @@ class Tables:
     def texts(self) -> DataFrame:
         return self["documents"].select(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), "text")
 
+    @property
+    def modules(self) -> DataFrame:
+        """Customers as common modules ``(path, text)``, each order a routine of twelve lines."""
+        k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+        function = F.col("o_orderstatus") == "F"
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        number = lambda n: (k % n).cast("string")
+        body = F.array(
+            text("// ", F.col("o_orderpriority")),
+            F.lit("&НаСервере"),
+            text(F.when(function, "Функция").otherwise("Процедура"), " Order", key, "(Первый, Знач Второй = 1)", F.when(F.col("o_orderstatus") != "P", " Экспорт").otherwise("")),
+            text("    Итог = Новый ", F.when(k % 3 == 0, "Структура").otherwise("Массив"), ";"),
+            text("    Order", key, F.when(k % 5 == 0, "(1, Первый, 3);").otherwise("(1, Первый);")),
+            text("    Дата = Справочники.C", number(7), ".Найти(Первый);"),
+            text('    Запрос = "ВЫБРАТЬ * ИЗ Документ.D', number(4), ' КАК Т";'),
+            F.when(k % 4 == 0, text("    Нет", number(11), "(Дата);")).otherwise(text("    Дальше = M", F.col("o_custkey").cast("string"), ".Order", key, "(Запрос);")),
+            F.when(function & (k % 6 != 0), "    Возврат Итог;").when(~function & (k % 6 == 1), "    Возврат;").otherwise("    Итог = Неопределено;"),
+            F.when(k % 6 == 1, "    Лишний = 2;").otherwise(""),
+            F.when(function, "КонецФункции").otherwise("КонецПроцедуры"),
+            F.lit(""),
+        )
+        rows = self["orders"].select("o_custkey", "o_orderkey", F.array_join(body, "\n").alias("t"))
+        packed = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "t"))).alias("a"))
+        return packed.select(F.concat(F.lit("CommonModules/M"), F.col("o_custkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("text"))
+
     @property
     def rights(self) -> DataFrame:
-        docs = self["documents"].select("doc_id", F.col("source").alias("role_id"), F.substring("text", 1, 200).alias("condition"))
+        docs = self["documents"].select("doc_id", F.col("source").alias("role_id"), F.col("text").alias("condition"))
         joined = self["labels"].join(docs, "doc_id")
         return joined.select("role_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("object_id"), (F.col("quality") == 1).alias("may_read"), (F.col("toxic") == 1).alias("may_insert"), (F.col("quality") == 0).alias("has_rls"), "condition")
 
@@ -131,13 +156,16 @@ _OBJECTS = """objects AS (
   UNION ALL SELECT 'customer:' || c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Form' ELSE 'Attribute' END, c_name, c_mktsegment, 'nation:' || c_nationkey, c_mktsegment || '/' || c_name || '.bsl' FROM customer)"""
 _TEXTS = "texts AS (SELECT source || '/' || lang || '/' || doc_id AS path, text FROM documents)"
 _LINES = "lines AS (SELECT path, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS line FROM (SELECT path, regexp_split_to_array(text, '\\r\\n|\\r|\\n') AS a FROM texts))"
+_CODE = """code AS (
+  SELECT 'CommonModules/M' || o_custkey || '/Ext/Module.bsl' AS path, 'M' || o_custkey AS module, 'Order' || o_orderkey AS name, o_orderkey AS k, o_orderstatus = 'F' AS is_function, o_orderstatus <> 'P' AS is_export, o_orderpriority AS priority,
+    CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 12 AS INTEGER) AS base FROM orders)"""
 _RIGHTS = """rights AS (
-  SELECT source AS role_id, 'doc:' || l.doc_id AS object_id, quality = 1 AS may_read, toxic = 1 AS may_insert, quality = 0 AS has_rls, substr(text, 1, 200) AS condition
+  SELECT source AS role_id, 'doc:' || l.doc_id AS object_id, quality = 1 AS may_read, toxic = 1 AS may_insert, quality = 0 AS has_rls, text AS condition
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 _FEATURES = """features AS (
   SELECT id, CASE WHEN length(value) >= 14 THEN 'name' ELSE 'call' END AS category, value
   FROM (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS value FROM documents) WHERE length(value) >= 9)"""
-_PARTS = {"nodes": (_NODES,), "edges": (_EDGES,), "refs": (_EDGES, _REFS), "symbols": (_SYMBOLS,), "objects": (_OBJECTS,), "texts": (_TEXTS,), "lines": (_TEXTS, _LINES), "rights": (_RIGHTS,), "features": (_FEATURES,)}
+_PARTS = {"nodes": (_NODES,), "edges": (_EDGES,), "refs": (_EDGES, _REFS), "symbols": (_SYMBOLS,), "objects": (_OBJECTS,), "texts": (_TEXTS,), "lines": (_TEXTS, _LINES), "rights": (_RIGHTS,), "code": (_CODE,), "features": (_FEATURES,)}
 
 
 def sql(body: str, *frames: str, more: str = "", recursive: bool = False) -> str:

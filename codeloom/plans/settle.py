@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -10,10 +11,12 @@ from pyspark.sql import DataFrame
 def settle(df: DataFrame) -> DataFrame:
     """``df`` read back from files of ``spark.checkpoint.dir``: later steps neither plan nor compute it again.
 
-    A temporary folder is set only where the session names none, as in tests.
+    A temporary folder is set only where the session names none and runs in one process on this machine, as in tests.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codeloom-"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))

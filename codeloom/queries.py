@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import changes, check, conventions, entrypoints, graph, grep, rights, search, similar
 from .plans.driver import Tables, sql
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):  # noqa: ANN201
-    def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
-
+from .registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def long(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in columns})
@@ -370,7 +355,7 @@ def _(t: Tables) -> DataFrame:
     WHEN contains(lower(id), 'a') THEN 5 WHEN contains(lower(name), 'a') THEN 6 WHEN contains(lower(metadata_kind), 'a') THEN 7 WHEN contains(lower(source_path), 'a') THEN 9 END AS score FROM nodes) n
     JOIN (SELECT id AS i, (SELECT count(*) FROM edges WHERE target_id = id) + (SELECT count(*) FROM edges WHERE source_id = id) AS degree FROM nodes) ON id = i WHERE score IS NOT NULL ORDER BY score, degree DESC, id LIMIT 30 OFFSET 10""", "nodes", "edges"))
 def _(t: Tables) -> DataFrame:
-    return search.search_graph(t.nodes, graph.degrees(t.nodes, t.edges), "A", offset=10)
+    return search.search_graph(t.nodes, t.edges, "A", offset=10)
 
 
 @query("t02_search_index", sql("""SELECT id, name, rank FROM (SELECT id, name, CASE WHEN lower(id) = 'customer' THEN 0 WHEN lower(name) = 'customer' THEN 1 WHEN starts_with(lower(name), 'customer') THEN 2
@@ -409,12 +394,14 @@ def _(t: Tables) -> DataFrame:
 
 @query("t08_resolve", sql("SELECT id, 0 AS stage FROM nodes WHERE id = 'nation:4'", "nodes"))
 def _(t: Tables) -> DataFrame:
-    return search.resolve(t.nodes, graph.degrees(t.nodes, t.edges), "nation:4")
+    return search.resolve(t.nodes, t.edges, "nation:4")
 
 
 @query("t09_callers_by_text", sql("SELECT source_id, target_id, line, detail FROM edges WHERE kind = 'Calls' AND detail = (SELECT min(detail) FROM edges WHERE kind = 'Calls' AND contains(detail, '.'))", "edges"))
 def _(t: Tables) -> DataFrame:
-    least = t.edges.where("kind = 'Calls'").agg(F.min("detail").alias("d"))
+    # The texts come from the parts alone; the calls are scanned once.
+    called = t["lineitem"].select(F.col("l_partkey").alias("p_partkey"))
+    least = t["part"].join(called, "p_partkey", "left_semi").agg(F.min(F.concat("p_brand", F.lit("."), "p_type")).alias("d"))
     return t.edges.where("kind = 'Calls'").join(F.broadcast(least), F.col("detail") == F.col("d")).select("source_id", "target_id", "line", "detail")
 
 
@@ -431,7 +418,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("t11_trigram_candidates", sql("SELECT DISTINCT path FROM texts WHERE contains(lower(text), 'tok') AND contains(lower(text), 'oke') AND contains(lower(text), 'ken')", "texts"))
 def _(t: Tables) -> DataFrame:
-    return grep.trigram_candidates(grep.trigrams(t.texts), "token")
+    return grep.trigram_candidates(grep.trigrams(t.texts, "token"), "token")
 
 
 @query("t12_grep_decorated", sql("SELECT path, n, split_part(path, '/', 1) AS owner, line FROM hits", "lines", more=_HITS))
@@ -654,9 +641,10 @@ def _(t: Tables) -> DataFrame:
     return check.unknown_objects(t.refs, t.objects.where("id <> 'nation:3'")).select("source_id", "target_id")
 
 
-@query("c26_similar_names", "SELECT a.n AS name, b.n AS hint, CAST(levenshtein(a.n, b.n) AS INTEGER) AS d FROM (SELECT lower(n_name) AS n FROM nation) a JOIN (SELECT lower(n_name) AS n FROM nation) b ON left(a.n, 2) = left(b.n, 2) AND levenshtein(a.n, b.n) BETWEEN 1 AND 2 QUALIFY row_number() OVER (PARTITION BY a.n ORDER BY d, b.n) <= 3")
+@query("c26_similar_names", """WITH n AS (SELECT DISTINCT lower(p_name) AS n FROM part WHERE p_partkey % 7 = 0 UNION SELECT lower(n_name) FROM nation)
+    SELECT a.n AS name, b.n AS hint, CAST(levenshtein(a.n, b.n) AS INTEGER) AS d FROM n a JOIN n b ON levenshtein(a.n, b.n) BETWEEN 1 AND 2 QUALIFY row_number() OVER (PARTITION BY a.n ORDER BY d, b.n) <= 3""")
 def _(t: Tables) -> DataFrame:
-    n = t["nation"].select(F.col("n_name").alias("name"))
+    n = t["part"].where("p_partkey % 7 = 0").select(F.col("p_name").alias("name")).union(t["nation"].select("n_name"))
     return check.similar_names(n, n)
 
 

@@ -13,10 +13,10 @@ SERVICE_FOLDER = ".codeloom"
 FILES = "path string, size long, mtime timestamp, content binary"
 
 
-def read_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """``path`` (below ``root``), ``size``, ``mtime``, ``content``; listing alone does not open files, as content is pruned."""
+def read_files(spark: SparkSession, root: str, glob: str | None = None, paths: list[str] | None = None) -> DataFrame:
+    """``path`` (below ``root``), ``size``, ``mtime``, ``content``; listing alone does not open files, as content is pruned. Only the given ``paths`` below ``root``, where there are any."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(root)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load([f"{root.rstrip('/')}/{p}" for p in paths] if paths else root)
     base = root.rstrip("/").split(":")[-1].lstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", ""), f"^{base}/", "")
     named = found.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
@@ -35,18 +35,25 @@ def _legacy(content: pd.Series) -> pd.Series:
     return content.map(lambda b: None if b is None else bytes(b).decode("cp1251", "replace"))
 
 
+@F.pandas_udf(T.StringType())
+def _wide(content: pd.Series) -> pd.Series:
+    """UTF-32 with its mark, which the built-in decoder does not offer everywhere."""
+    return content.map(lambda b: bytes(b).decode("utf-32", "replace"))
+
+
 def decode(files: DataFrame) -> DataFrame:
-    """Add ``text``: by byte order mark (UTF-8, UTF-16), else as UTF-8 where valid, else as code page 1251.
+    """Add ``text``: by byte order mark (UTF-8, UTF-16, UTF-32), else as UTF-8 where valid, else as code page 1251.
 
-    Valid files stay in the JVM; only the others pass through Arrow, in a branch of their own.
+    Valid files stay in the JVM; only UTF-32 and code page 1251 pass through Arrow, each in a branch of its own.
     """
-    c, mark = F.col("content"), F.hex(F.substring("content", 1, 3))
+    c, mark = F.col("content"), F.hex(F.substring("content", 1, 4))
     cut = lambda n: F.substr(c, F.lit(n + 1))
-    marked = F.when(mark == "EFBBBF", F.decode(cut(3), "utf-8")).when(mark.startswith("FFFE"), F.decode(cut(2), "utf-16le")).when(mark.startswith("FEFF"), F.decode(cut(2), "utf-16be"))
+    wide = mark.isin("FFFE0000", "0000FEFF")
+    marked = F.when(mark.startswith("EFBBBF"), F.decode(cut(3), "utf-8")).when(mark.startswith("FFFE"), F.decode(cut(2), "utf-16le")).when(mark.startswith("FEFF"), F.decode(cut(2), "utf-16be"))
     fine = F.expr("is_valid_utf8(cast(content as string))")
     told = mark.startswith("FFFE") | mark.startswith("FEFF") | fine
-    easy = files.where(told).withColumn("text", F.coalesce(marked, c.cast("string")))
-    return easy.unionByName(files.where(~told).withColumn("text", _legacy("content")))
+    easy = files.where(~wide & told).withColumn("text", F.coalesce(marked, c.cast("string")))
+    return easy.unionByName(files.where(~wide & ~told).withColumn("text", _legacy("content"))).unionByName(files.where(wide).withColumn("text", _wide("content")))
 
 
 def sections(files: DataFrame, wanted: list[str]) -> DataFrame:

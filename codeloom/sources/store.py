@@ -30,14 +30,15 @@ def write_index(tables: dict[str, DataFrame], root: str) -> str:
     return version
 
 
-def read_index(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """A table of the current version; an index of another schema version is refused."""
+def read_index(spark: SparkSession, root: str, table: str, end: str = "source_id") -> DataFrame:
+    """A table of the current version; an index of another schema version is refused. Edges come clustered by ``end``:
+    ``source_id`` for what a node reaches, ``target_id`` for callers, usages and other questions about incoming edges."""
     version = spark.read.text(f"{root.rstrip('/')}/{POINTER}").first()["value"]
     base = f"{root.rstrip('/')}/{version}"
     found = spark.read.parquet(f"{base}/meta").where("key = 'schema_version'").first()["value"]
     if found != str(SCHEMA_VERSION):
         raise ValueError(f"index has schema version {found}, not {SCHEMA_VERSION}; rebuild it")
-    return spark.read.parquet(f"{base}/{'edges_by_source_id' if table == 'edges' else table}")
+    return spark.read.parquet(f"{base}/{f'edges_by_{end}' if table == 'edges' else table}")
 
 
 def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import io
+import time
 import zipfile
 
 import pytest
@@ -20,9 +21,9 @@ def texts(spark):
 
 def test_decoding(spark):
     text = "Процедура А()\nКонецПроцедуры"
-    files = {"utf8": text, "bom": b"\xef\xbb\xbf" + text.encode(), "cp1251": text.encode("cp1251"), "utf16": b"\xff\xfe" + text.encode("utf-16le"), "empty": ""}
+    files = {"utf8": text, "bom": b"\xef\xbb\xbf" + text.encode(), "cp1251": text.encode("cp1251"), "utf16": b"\xff\xfe" + text.encode("utf-16le"), "utf32": b"\xff\xfe\0\0" + text.encode("utf-32le"), "utf32b": b"\0\0\xfe\xff" + text.encode("utf-32be"), "empty": ""}
     got = {r.path: r.text for r in dump.decode(dump.in_memory(spark, files)).collect()}
-    assert got == {"utf8": text, "bom": text, "cp1251": text, "utf16": text, "empty": ""}
+    assert got == {"utf8": text, "bom": text, "cp1251": text, "utf16": text, "utf32": text, "utf32b": text, "empty": ""}
 
 
 def test_files_on_disk(spark, tmp_path):
@@ -122,6 +123,7 @@ def test_index_round_trip_and_version(spark, tmp_path, texts):
     root = str(tmp_path / "index")
     store.write_index({"nodes": nodes, "edges": edges}, root)
     first = rows(store.read_index(spark, root, "edges").select("source_id", "target_id"))
+    assert rows(store.read_index(spark, root, "edges", "target_id").select("source_id", "target_id")) == first
     store.write_index({"nodes": nodes, "edges": edges.limit(1)}, root)
     assert len(first) == edges.count() and store.read_index(spark, root, "edges").count() == 1
 
@@ -153,15 +155,39 @@ def test_help_archive(spark):
 def test_watch_and_counters(spark, tmp_path):
     root = tmp_path / "dump"
     root.mkdir()
-    (root / "a.bsl").write_text(MODULE_A)
-    seen = {"partial": 0, "full": 0}
-    for name in ("b.bsl", "c.xml"):
-        q = watch.watch(spark, str(root), str(tmp_path / "state"), lambda b: seen.__setitem__("partial", seen["partial"] + b.count()), lambda: seen.__setitem__("full", seen["full"] + 1), lambda: 100, once=True)
-        q.awaitTermination(60)
-        (root / name).write_text(CATALOG)
-    q = watch.watch(spark, str(root), str(tmp_path / "state"), lambda b: None, lambda: seen.__setitem__("full", seen["full"] + 1), lambda: 100, once=True)
-    q.awaitTermination(60)
-    assert seen == {"partial": 2, "full": 1}
+    for n in range(20):
+        (root / f"m{n}.bsl").write_text(MODULE_A)
+    seen, store_ = [], {}
+
+    def snapshot():
+        store_["known"] = [tuple(r) for r in dump.read_files(spark, str(root)).select("path", "size", "mtime").collect()]
+
+    def step():
+        known = lambda: spark.createDataFrame(store_["known"], "path string, size long, mtime timestamp")
+        watch.watch(spark, str(root), str(tmp_path / "state"), lambda b: seen.append(("partial", b.count())), lambda: seen.append("full"), known, once=True)
+        snapshot()
+
+    snapshot()
+    step()  # nothing has changed since the snapshot
+    (root / "new.bsl").write_text(MODULE_A)
+    step()
+    (root / "m4.bsl").write_text(MODULE_A + "// more")
+    step()  # written anew
+    (root / "m3.bsl").unlink()
+    step()  # a module is gone
+    (root / "c.xml").write_text(CATALOG)
+    step()  # not a module
+    assert seen == [("partial", 1), ("partial", 1), "full", "full"]
+    told = []
+    known = lambda: spark.createDataFrame(store_["known"], "path string, size long, mtime timestamp")
+    (root / "later.bsl").write_text(MODULE_A)
+    q = watch.watch(spark, str(root), str(tmp_path / "clock"), lambda b: told.append(b.count()), lambda: None, known, seconds=1)
+    for _ in range(60):
+        if told:
+            break
+        time.sleep(0.5)
+    q.stop()
+    assert told[0] == 1
     events = spark.createDataFrame([("2026-01-01 00:01:00", "a"), ("2026-01-01 00:02:00", "a"), ("2026-01-01 00:06:00", "b")], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert rows(watch.usage_counters(events).select("event_type", "n")) == [("a", 2), ("b", 1)]
 
