@@ -30,7 +30,8 @@ def code_lines(texts: DataFrame) -> DataFrame:
 
 
 def routines(texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """``path, kind, name, is_export, start_line, end_line, parameters array, total, required`` of every routine.
+    """``path, kind, name, is_export, start_line, end_line, parameters array, total, required, body_line`` of every routine;
+    the body begins below the line that closes the parameters.
 
     The k-th header of a module closes at the k-th end; parameters may stand on several lines, so they are cut from the
     text that the lines from the header on make.
@@ -50,6 +51,7 @@ def routines(texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     return joined.select(
         "path", F.when(F.col("word") == "Функция", "Function").otherwise("Procedure").alias("kind"), "name", F.col("rest").rlike("(?iu)экспорт$").alias("is_export"), "start_line", "end_line",
         bare.alias("parameters"), F.size(params).alias("total"), F.when(first > 0, first - 1).otherwise(F.size(params)).cast("int").alias("required"),
+        (F.col("start_line") + F.size(F.split(F.split_part("rest", F.lit(")"), F.lit(1)), "\n"))).alias("body_line"),
     )
 
 
@@ -65,10 +67,10 @@ def regions(texts: DataFrame) -> DataFrame:
     return opens.join(closes, ["path", "depth", "k"], "left").select("path", "name", "depth", "start_line", "end_line")
 
 
-def inside(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows(path, n, ...)`` with the ``routine`` they stand in; the module is the join key."""
-    r = found.select(F.col("path").alias("_p"), F.col("name").alias("routine"), "start_line", "end_line")
-    return rows.join(r, (F.col("path") == F.col("_p")) & F.col("n").between(F.col("start_line"), F.col("end_line")), "left").drop("_p", "start_line", "end_line")
+def inside(rows: DataFrame, found: DataFrame, first: str = "start_line") -> DataFrame:
+    """``rows(path, n, ...)`` with the ``routine`` they stand in, from its line ``first`` on; the module is the join key."""
+    r = found.select(F.col("path").alias("_p"), F.col("name").alias("routine"), F.col(first).alias("_first"), F.col("end_line").alias("_last"))
+    return rows.join(r, (F.col("path") == F.col("_p")) & F.col("n").between(F.col("_first"), F.col("_last")), "left").drop("_p", "_first", "_last")
 
 
 def calls(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -109,7 +111,7 @@ def declared(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None)
     code = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
     patterns = (rf"(?iu)^\s*({NAME})\s*=", rf"(?iu)^\s*Перем\s+({NAME})", rf"(?iu)^\s*Для\s+(?:Каждого\s+)?({NAME})\s")
     names = F.filter(F.array(*[F.regexp_extract("code", p, 1) for p in patterns]), lambda x: x != "")
-    hit = inside(code.select("path", "n", F.explode(names).alias("name")), found).where("routine is not null")
+    hit = inside(code.select("path", "n", F.explode(names).alias("name")), found, "body_line").where("routine is not null")
     return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.min(F.struct("n", "name")).alias("f")).select("path", "routine", "f.name", F.col("f.n").alias("line"))
 
 
@@ -118,7 +120,7 @@ def names_read(texts: DataFrame, found: DataFrame, lines: DataFrame | None = Non
     body = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
     right = F.regexp_replace("code", rf"(?iu)^\s*(?:{NAME}\s*=(?!=)|Перем\s.*$|Для\s+(?:Каждого\s+)?{NAME}\s)", " ")
     names = F.array_distinct(F.regexp_extract_all(right, F.lit(rf"(?<![\p{{L}}\p{{N}}_.])({NAME})"), F.lit(1)))
-    return inside(body.select("path", "n", F.explode(names).alias("name")), found).where("routine is not null").select("path", "routine", "name").distinct()
+    return inside(body.select("path", "n", F.explode(names).alias("name")), found, "body_line").where("routine is not null").select("path", "routine", "name").distinct()
 
 
 def call_sites(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from fixtures import CATALOG, DUMP, MODULE_A
 from pyspark.sql import functions as F
 
 from codeloom.functions import names
-from codeloom.operators import changes, entrypoints
+from codeloom.operators import changes, entrypoints, grep
 from codeloom.plans import build, code
 from codeloom.sources import dump, metadata, store
 from codeloom.streaming import watch
@@ -36,84 +36,116 @@ def test_files_on_disk(spark, tmp_path):
     assert rows(dump.sections(dump.read_files(spark, str(tmp_path)), ["Roles"]).select("path")) == [("Configuration.xml",)]
 
 
+A, B = "CommonModules/Ночь/Ext/Module.bsl", "CommonModules/Журнал/Ext/Module.bsl"
+
+
 def test_routines(spark, texts):
     found = code.routines(texts.where("path like '%.bsl'"))
     got = rows(found.select("name", "kind", "is_export", "start_line", "end_line", "total", "required"))
     assert got == [
-        ("Запустить", "Procedure", True, 4, 13, 3, 1),
-        ("ПриОткрытии", "Procedure", False, 1, 2, 1, 1),
-        ("Провести", "Procedure", True, 1, 3, 1, 1),
-        ("Сложить", "Function", False, 15, 17, 2, 2),
+        ("Видимые", "Function", False, 16, 18, 2, 2),
+        ("ДиаметрПриИзменении", "Procedure", False, 2, 3, 1, 1),
+        ("Записать", "Procedure", True, 1, 3, 1, 1),
+        ("Калибровка", "Procedure", False, 5, 6, 1, 1),
+        ("НачатьНочь", "Procedure", True, 5, 14, 4, 1),
+        ("ПоРасписанию", "Procedure", True, 5, 6, 0, 0),
     ]
-    assert found.where("name = 'Запустить'").first().parameters == ["Ссылка", "Режим", "Метка"]
+    assert found.where("name = 'НачатьНочь'").first().parameters == ["Дата", "Порог", "Облачность", "Пометка"]
 
 
 def test_regions_close_at_their_depth(spark, texts):
-    assert rows(code.regions(texts.where("path like '%МодульА%'")).select("name", "depth", "start_line", "end_line")) == [("Внутренние", 1, 14, 18), ("Публичные", 0, 1, 19)]
+    assert rows(code.regions(texts.where(F.col("path") == A)).select("name", "depth", "start_line", "end_line")) == [("Наблюдения", 0, 1, 20), ("Расчёты", 1, 15, 19)]
 
 
 def test_calls_accesses_queries(spark, texts):
-    modules = texts.where("path like '%МодульА%'")
+    modules = texts.where(F.col("path") == A)
     found = code.routines(modules)
-    assert ("Запустить", 6, "Сложить") in rows(code.calls(modules, found).select("routine", "line", "callee"))
-    callees = {r.callee for r in code.calls(modules, found).collect()}
-    assert callees == {"Сложить", "МодульБ.Провести", "Справочники.Товары.НайтиПоКоду"}
-    assert rows(code.accesses(modules, found).select("routine", "line", "target_id")) == [("Запустить", 8, "Catalog.Товары")]
-    assert rows(code.query_tables(modules, found).select("line", "target_id")) == [(10, "Catalog.Товары"), (12, "InformationRegister.Курсы")]
-    assert rows(code.inferred_types(modules, found).select("name", "line", "type")) == [("Запрос", 9, "Запрос")]
-    assert ("Итог", 6) in rows(code.declared(modules, found).select("name", "line"))
+    assert {(r.routine, r.line, r.callee) for r in code.calls(modules, found).collect()} == {
+        ("НачатьНочь", 7, "Видимые"), ("НачатьНочь", 8, "Журнал.Записать"), ("НачатьНочь", 9, "Справочники.Телескопы.НайтиПоНаименованию"),
+    }
+    sites = {(r.method, r.args, r.used) for r in code.call_sites(modules, found).collect()}
+    assert sites == {("Видимые", 2, True), ("Записать", 1, False), ("НайтиПоНаименованию", 1, True)}
+    assert rows(code.accesses(modules, found).select("routine", "line", "target_id")) == [("НачатьНочь", 9, "Catalog.Телескопы")]
+    assert rows(code.query_tables(modules, found).select("line", "target_id")) == [(11, "Catalog.Телескопы"), (13, "InformationRegister.Экспозиции")]
+    assert rows(code.inferred_types(modules, found).select("name", "line", "type")) == [("Выборка", 10, "Запрос")]
+    assert {(r.name, r.line) for r in code.declared(modules, found).collect()} == {("Звёзды", 7), ("Купол", 9), ("Выборка", 10)}
+
+
+def test_comment_above_a_directive(spark, texts):
+    starts = code.routines(texts.where(F.col("path") == A)).where("name = 'НачатьНочь'").select("path", F.col("start_line").alias("n"))
+    assert grep.comment_heads(grep.lines(texts), starts).first().comment_head == "// Ведёт ночь от сумерек\n// до рассвета."
 
 
 def test_metadata(spark, texts):
     objects = metadata.objects(texts)
     got = {r.id: r for r in objects.collect()}
-    assert got["Catalog.Товары"].synonym == "Товары и услуги" and got["Catalog.Товары"].uuid == "u1"
-    assert got["Catalog.Товары/Attribute.Поставщик"].types == ["cfg:CatalogRef.Контрагенты"]
-    assert got["Catalog.Товары/Form.ФормаЭлемента"].parent_id == "Catalog.Товары"
+    assert got["Catalog.Телескопы"].synonym == "Fernrohre" and got["Catalog.Телескопы"].uuid == "t-1"
+    assert got["Catalog.Телескопы/Attribute.Купол"].types == ["cfg:CatalogRef.Купола", "cfg:DocumentRef.Ремонт", "xs:boolean"]
+    assert got["Catalog.Телескопы/Command.Навести"].comment == "по часам"
+    assert {i for i in got if i.startswith("Catalog.Телескопы/")} == {f"Catalog.Телескопы/{x}" for x in ("TabularSection.Окуляры", "Attribute.Купол", "Command.Навести", "Form.Карточка", "Form.Список", "Template.Паспорт")}
+    assert got["InformationRegister.Экспозиции/Resource.Секунды"].parent_id == "InformationRegister.Экспозиции"
     assert rows(metadata.references(texts).select("source_id", "target_id", "context")) == [
-        ("Catalog.Товары", "Catalog.Контрагенты", "type"),
-        ("EventSubscription.ПередЗаписьюТовара", "Catalog.Товары", "event"),
-        ("Subsystem.Продажи", "Catalog.Нет", "content"),
-        ("Subsystem.Продажи", "Catalog.Товары", "content"),
+        ("Catalog.Телескопы", "Catalog.Купола", "type"),
+        ("Catalog.Телескопы", "Document.Ремонт", "type"),
+        ("EventSubscription.СборЗаявок", "Catalog.Телескопы", "event"),
+        ("EventSubscription.СборЗаявок", "Document.Заявка", "event"),
+        ("InformationRegister.Экспозиции", "Catalog.Телескопы", "type"),
+        ("Subsystem.Ночь", "Catalog.Телескопы", "content"),
+        ("Subsystem.Ночь", "InformationRegister.Экспозиции", "content"),
+        ("Subsystem.Ночь", "Report.Погода", "content"),
     ]
 
 
-def test_forms_and_rights(spark, texts):
+def test_forms(spark, texts):
     items = metadata.form_items(texts)
     linked = metadata.link_handlers(items, code.routines(texts.where("path like '%.bsl'")))
-    assert rows(linked.select("kind", "name", "is_resolved", "start_line")) == [("Command", "Печать", False, None), ("Handler", "OnClose", False, None), ("Handler", "OnOpen", True, 1)]
-    assert rows(metadata.data_path_attribute(items).select("name", "attribute")) == [("Артикул", "Объект")]
+    assert rows(linked.select("kind", "name", "is_resolved", "start_line")) == [("Command", "Пуск", False, None), ("Command", "Сверка", True, 5), ("Handler", "OnChange", True, 2)]
+    assert rows(metadata.data_path_attribute(items).select("name", "attribute")) == [("Диаметр", "Прибор"), ("Окуляры", "Список"), ("Подпись", None), ("Фокус", "Список")]
+
+
+def test_rights(spark, texts):
     got = {r.object_id: r for r in metadata.rights(texts).collect()}
-    assert set(got) == {"Catalog.Товары", "Configuration"}
-    assert got["Catalog.Товары"].rights == {"Read": True, "Delete": False} and got["Catalog.Товары"].has_rls
-    assert got["Catalog.Товары"].condition == "ГДЕ Т.Цена &Больше"
+    assert set(got) == {"Catalog.Телескопы", "InformationRegister.Экспозиции/Resource.Секунды", "Configuration"}
+    assert got["Catalog.Телескопы"].rights == {"Insert": True, "Update": True}
+    assert got["Catalog.Телескопы"].has_rls and got["Catalog.Телескопы"].condition == "ГДЕ Купол.Смена = &Смена"
+    assert not got["Configuration"].has_rls and got["InformationRegister.Экспозиции/Resource.Секунды"].rights == {"View": False}
 
 
 def test_entry_points(spark, texts):
     found = code.routines(texts.where("path like '%.bsl'"))
     symbols = found.select(F.col("path").alias("module_path"), "name", names.routine_id("path", "name").alias("node_id"), "start_line")
-    got = entrypoints.collect([metadata.entry_facts(texts)], symbols).withColumn("handler", names.event_name("event")).first()
-    assert (got.kind, got.object_id, got.handler, got.is_resolved) == ("Subscription", "Catalog.Товары", "ПередЗаписью", True)
-    assert rows(entrypoints.counts(entrypoints.collect([metadata.entry_facts(texts)], symbols))) == [("FormHandler", 0), ("Job", 0), ("Subscription", 1)]
+    points = entrypoints.collect([metadata.entry_facts(texts)], symbols)
+    got = {r.kind: r for r in points.withColumn("handler", names.event_name("event")).collect()}
+    assert (got["Subscription"].object_id, got["Subscription"].handler, got["Subscription"].is_resolved) == ("Document.Заявка", "ОбработкаПроведения", False)
+    assert (got["Job"].id, got["Job"].start_line, got["Job"].is_resolved) == ("ScheduledJob.Сумерки", 5, True)
+    assert rows(entrypoints.counts(points)) == [("FormHandler", 0), ("Job", 1), ("Subscription", 1)]
 
 
 def test_graph_of_the_dump(spark, texts):
     nodes, edges = build.build(texts)
-    a, b = "CommonModules/МодульА/Ext/Module.bsl", "CommonModules/МодульБ/Ext/Module.bsl"
     calls = rows(edges.where("kind = 'Calls'").select("source_id", "target_id"))
-    assert (f"routine:module:{a}#Запустить", f"routine:module:{a}#Сложить") in calls
-    assert (f"routine:module:{a}#Запустить", f"routine:module:{b}#Провести") in calls
-    assert (f"routine:module:{b}#Провести", "call:CommonModule.МодульБ.Неизвестная") in calls
-    assert (f"routine:module:{a}#Запустить", "call:Справочники.Товары.НайтиПоКоду") in calls
+    assert (f"routine:module:{A}#НачатьНочь", f"routine:module:{A}#Видимые") in calls
+    assert (f"routine:module:{A}#НачатьНочь", f"routine:module:{B}#Записать") in calls
+    assert (f"routine:module:{B}#Записать", "call:CommonModule.Журнал.Отправить") in calls
+    assert (f"routine:module:{A}#НачатьНочь", "call:Справочники.Телескопы.НайтиПоНаименованию") in calls
     kinds = {r.id: (r.kind, r.is_external) for r in nodes.collect()}
-    assert kinds["Catalog.Контрагенты"] == ("External", True) and kinds["Catalog.Товары"] == ("MetadataObject", False)
+    assert kinds["Catalog.Купола"] == ("External", True) and kinds["Catalog.Телескопы"] == ("MetadataObject", False)
     assert len(kinds) == nodes.count()
 
 
+def test_calls_through_help_and_types(spark):
+    text = "Процедура П()\n\tСписок = Новый Массив;\n\tСписок.Добавить(Сегодня());\n\tСписок.Чужой();\nКонецПроцедуры\n"
+    modules = spark.createDataFrame([("Reports/Р/Ext/ObjectModule.bsl", text)], "path string, text string")
+    found = code.routines(modules)
+    topics = spark.createDataFrame([("массив.добавить",), ("Сегодня",)], "name string")
+    got = build.resolve(code.calls(modules, found), found, topics, code.last_types(modules, found))
+    assert rows(got.select("callee", "target_id", "stage")) == [("Сегодня", "Platform.Сегодня", 3), ("Список.Добавить", "Platform.массив.добавить", 4), ("Список.Чужой", "call:Список.Чужой", 5)]
+
+
 def test_partial_build_equals_full_build(spark, texts):
-    edited = texts.withColumn("text", F.when(F.col("path").like("%МодульБ%"), F.concat("text", F.lit("Процедура Ещё()\n\tПровести(1);\nКонецПроцедуры\n"))).otherwise(F.col("text")))
+    edited = texts.withColumn("text", F.when(F.col("path") == B, F.concat("text", F.lit("Процедура Стереть()\n\tЗаписать(1);\nКонецПроцедуры\n"))).otherwise(F.col("text")))
     old, full = code.routines(texts.where("path like '%.bsl'")), code.routines(edited.where("path like '%.bsl'"))
-    scope = edited.where("path like '%МодульБ%'").select("path")
+    scope = edited.where(F.col("path") == B).select("path")
     partial = changes.replace_rows(old, code.routines(edited.join(scope, "path", "left_semi")), "path", scope)
     assert rows(partial) == rows(full)
 
@@ -130,8 +162,8 @@ def test_index_round_trip_and_version(spark, tmp_path, texts):
 
 def test_exports(spark, texts):
     nodes, edges = build.build(texts)
-    dot = [r.line for r in store.graph_dot(nodes, edges, root="Catalog.Товары").orderBy("ord", "line").collect()]
-    assert dot[0] == "digraph {" and dot[-1] == "}" and any("Catalog.Контрагенты" in x for x in dot)
+    dot = [r.line for r in store.graph_dot(nodes, edges, root="Catalog.Телескопы").orderBy("ord", "line").collect()]
+    assert dot[0] == "digraph {" and dot[-1] == "}" and any("Catalog.Купола" in x for x in dot)
     assert store.graph_json(nodes, edges).groupBy("part").count().count() == 2
 
 
