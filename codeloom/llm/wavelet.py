@@ -22,7 +22,7 @@ from .bpe import slices
 MAGIC, BLOCK = b"CLWM", 512
 #: Ids a shard holds before the next document opens a new one.
 SHARD_IDS = 1 << 20
-CACHE_WORDS, CACHE_PIECES = 300_000, 1_000_000
+CACHE_WORDS, CACHE_PIECES = 400_000, 500_000
 
 
 class WaveletMatrix:
@@ -149,16 +149,42 @@ def unpack_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatr
     return ids, np.frombuffer(data, "<u4", n, at + 8 * n), WaveletMatrix.from_bytes(memoryview(data)[at + 12 * n :])
 
 
+#: Composed Latin letters that stay one of them, or of a-z, in lower case.
+LETTERS = "".join(c for c in map(chr, range(0xC0, 0x250)) if c.isalpha() and len(low := c.lower()) == 1 and (low < "\x80" or "\u00c0" <= low < "\u0250"))
 #: Words in which letters, digits and the rest part alike in the tokenizer's own pattern, whatever stands around them:
-#: composed Latin letters and ASCII without the apostrophe.
-PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-PIECES = re.compile("[a-z\u00c0-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u024f]+")
+#: such letters and ASCII without the apostrophe.
+PLAIN = re.compile(f"[!-&(-~{LETTERS}]+")
+PIECES = re.compile(f"[a-z{LETTERS}]+|[0-9]|[^a-z0-9{LETTERS}]+")
 
 
-class WordEncoder:
-    """Ids of words as little-endian uint32 bytes. The tokenizer drops white space and no piece crosses it, so each
-    distinct word, and below it each distinct piece of a plain word, is encoded once by the library and kept in a
-    bounded cache."""
+@lru_cache(1)
+def byte_signs() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: visible Latin-1 signs stand for themselves, the
+    other bytes for the signs from U+0100 on, in order."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in set(own)]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(other)}
+
+
+class Pieces(dict):
+    """Ids of pieces of plain words as little-endian uint32 bytes, each merged once per bounded cache."""
+
+    def __init__(self, tokenizer):  # noqa: ANN001
+        self.model = tokenizer.model
+        self.cells = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size())]
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        signs = piece if piece.isascii() else piece.encode().decode("latin-1").translate(byte_signs())
+        cells = self.cells
+        ids = self[piece] = b"".join([cells[t.id] for t in self.model.tokenize(signs)])
+        return ids
+
+
+class WordIds(dict):
+    """Ids of words, likewise. The tokenizer drops white space and no piece crosses it; plain words fall into pieces here,
+    all others go through the library whole."""
 
     def __init__(self, path: str):
         import os
@@ -167,45 +193,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def learn(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 4096):
-            part = pieces[a : a + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[w] = np.array(e.ids, "<u4").tobytes()
-
-    def see(self, words: set[bytes]) -> None:
-        missing = words - self.words.keys()
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words.clear()
-            missing = words
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        parts: dict[bytes, list[str]] = {}
-        for w in missing:
-            t = w.decode("utf-8", "surrogatepass")
-            parts[w] = PIECES.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else [t]
-        self.learn([*{p for ps in parts.values() for p in ps} - self.pieces.keys()])
-        get = self.pieces.__getitem__
-        for w, ps in parts.items():
-            self.words[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        self.pieces = Pieces(self.tokenizer)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        if word.isalpha():  # ASCII letters only
+            ids = self.pieces[word.lower().decode()]
+        else:
+            t = word.decode("utf-8", "surrogatepass")
+            if PLAIN.fullmatch(t) and "<|" not in t:
+                ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(t.lower())))
+            else:
+                ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        self[word] = ids
+        return ids
 
 
 @lru_cache(2)
-def word_encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
 
 
 def encode_words(texts: list[str], path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text and its end id, end to end, with the counts."""
-    encoder = word_encoder(path)
-    end = np.array([end_id], "<u4").tobytes()
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    encoder.see({w for ws in words for w in ws})
-    get = encoder.words.__getitem__
-    found = [b"".join(map(get, ws)) + end for ws in words]
+    get, end = word_ids(path).__getitem__, np.array([end_id], "<u4").tobytes()
+    found = [b"".join(map(get, t.encode("utf-8", "surrogatepass").split())) + end for t in texts]
     return np.frombuffer(b"".join(found), "<u4"), np.array([len(f) // 4 for f in found], np.int64)
 
 
