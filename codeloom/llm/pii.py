@@ -38,6 +38,8 @@ GATE = {
 }
 LOOSE_GATE = {PHONE: lambda t: t.rlike(r"[0-9]{3}-[0-9]{4}"), SECRET: lambda t: t.rlike(r"[=:]\x20?[\"'][A-Za-z0-9_/+=-]{16}")}
 LABELERS = 5
+#: Buckets of the word before a span, a feature of the classifier.
+WORD_BUCKETS = 32
 LEFT, RIGHT = 24, 8
 
 
@@ -91,6 +93,12 @@ def _luhn(hit: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(d)), F.lit(0), add) % 10 == 0
 
 
+def _sign(x: Column) -> Column:
+    """The kind of one sign: none, space, letter, digit, quote, bracket or other."""
+    told = F.when(x == "", "none").when(x.rlike(r"\s"), "space").when(x.rlike(r"\p{L}"), "letter").when(x.rlike("[0-9]"), "digit")
+    return told.when(x.rlike("[\"'`]"), "quote").when(x.rlike(r"[()\[\]{}<>]"), "bracket").otherwise("other")
+
+
 def _valid(c: Column) -> Column:
     """The check that belongs to a kind: octets, digit count and checksum, digit count."""
     n = F.length(_digits(c["hit"]))
@@ -121,7 +129,8 @@ def candidates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -
 
 
 def judged(found: DataFrame, lists: Gazetteers) -> DataFrame:
-    """Replace each candidate by ``(start, k, end, base, valid, v, size)``: v are the votes -1, 0, 1 of the labelers.
+    """Replace each candidate by ``(start, k, end, base, valid, v, size, near)``: v are the votes -1, 0, 1 of the labelers,
+    near the context that only the classifier sees: the bucket of the word before, the kinds of the signs on both sides.
     Spans that overlap a kept base span go; matches that fail their check stay as evidence only."""
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     one_of = lambda x, words: x.isin(*words)
@@ -135,7 +144,8 @@ def judged(found: DataFrame, lists: Gazetteers) -> DataFrame:
             F.when(k == EMAIL, one_of(F.lower(F.regexp_extract(hit, r"\.([^.]*)$", 1)), lists.domains))
             .when(k == IP, ~hit.rlike(r"^0*(0|127|255)\."))
             .when(k == CARD, one_of(F.left(hit, F.lit(1)), lists.card_starts))
-            .when(k == PHONE, F.exists(F.array(*[F.left(code, F.lit(n)) for n in (1, 2, 3)]), lambda x: one_of(x, lists.calling_codes)))
+            # Without a calling code this labeler abstains.
+            .when(k == PHONE, F.when(code != "", F.exists(F.array(*[F.left(code, F.lit(n)) for n in (1, 2, 3)]), lambda x: one_of(x, lists.calling_codes))))
             .otherwise(has(F.regexp_extract(hit, "^[A-Za-z_]+", 0), lists.secret_names))
         )
         cue = F.lit(False)
@@ -150,7 +160,10 @@ def judged(found: DataFrame, lists: Gazetteers) -> DataFrame:
             vote(~edge, edge),
         )
         size = F.least(F.length(_digits(hit)), F.lit(20))
-        return F.struct(c["start"], c["k"], c["end"], (c["base"] & valid).alias("base"), valid.alias("valid"), F.transform(votes, lambda v: F.coalesce(v, F.lit(0))).alias("v"), size.alias("size"))
+        word = F.lower(F.regexp_extract(c["before"], r"(\p{L}+)[^\p{L}]*$", 1))
+        bucket = F.when(word == "", "none").otherwise(F.pmod(F.xxhash64(word), F.lit(WORD_BUCKETS)).cast("string"))
+        near = F.array(F.concat(F.lit("w:"), bucket), F.concat(F.lit("b:"), _sign(F.right(c["before"], F.lit(1)))), F.concat(F.lit("a:"), _sign(F.left(c["after"], F.lit(1)))))
+        return F.struct(c["start"], c["k"], c["end"], (c["base"] & valid).alias("base"), valid.alias("valid"), F.transform(votes, lambda v: F.coalesce(v, F.lit(0))).alias("v"), size.alias("size"), near.alias("near"))
 
     voted = found.select("_id", F.transform("found", look).alias("c"))
     sure = voted.select("_id", "c", F.filter("c", lambda c: c["base"]).alias("sure"))
@@ -191,9 +204,10 @@ def _posterior(k: Column, v: Column, m: dict) -> Column:
 
 
 def _features(c: Column) -> Column:
-    """Names of the classifier's features of a span; at most some hundred in all."""
+    """Names of the classifier's features of a span: votes, digits and context by kind; at most some hundred in all."""
     votes = [F.concat(F.lit(f"v{j}:"), c["k"].cast("string"), F.lit(":"), F.get(c["v"], F.lit(j)).cast("string")) for j in range(LABELERS)]
-    return F.array(*votes, F.concat(F.lit("n:"), c["k"].cast("string"), F.lit(":"), c["size"].cast("string")))
+    own = F.array(*votes, F.concat(F.lit("n:"), c["k"].cast("string"), F.lit(":"), c["size"].cast("string")))
+    return F.concat(own, F.transform(c["near"], lambda x: F.concat(c["k"].cast("string"), F.lit(":"), x)))
 
 
 def detect(docs: DataFrame, lists: Gazetteers | None = None, threshold: float = 0.9, id_column: str = "doc_id", text: str = "text") -> DataFrame:
