@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,7 +26,7 @@ START, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACE, JOINING, ONE_LEFT, TWO_LEFT
 FIRST = 8
 #: What may follow an apostrophe in a contraction.
 CONTRACTIONS = ("s", "t", "m", "d", "re", "ve", "ll")
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 CACHE_PIECES = 200_000
 
 
@@ -260,31 +260,66 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, pa.int32()))
 
 
-def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Encode every whole text by the ranks at ``ranks_path`` (a path every executor has).
-
-    Returns the columns ``keep`` (``["doc_id"]`` unless given) of each row with ``ids array<int>`` and ``offsets
-    array<int>``, the byte at which each token starts. A null or empty text gives empty arrays, an empty table no
-    rows; repeated rows are encoded one by one; other columns, whatever their names, are not looked at. No shuffle.
-    """
+def _encoded(texts: list[str | None], ranks_path: str) -> tuple[pa.Array, pa.Array]:
+    """Lists of ids and of the bytes at which their tokens start, of some texts."""
+    _, _, length = token_bytes(ranks_path)
+    ids, counts = encode_texts([t or "" for t in texts], ranks_path)
+    width = length[ids]
+    ends = np.cumsum(width)
+    first = np.cumsum(counts) - counts
+    base = np.where(first > 0, ends[np.maximum(first, 1) - 1], 0) if len(ends) else np.zeros(len(counts), np.int64)
+    return _lists(ids, counts), _lists(ends - width - np.repeat(base, counts), counts)
+
+
+def _decoded(ids: pa.Array, at: pa.Array, ranks_path: str) -> pa.Array:
+    """The bytes of each token put at its place."""
+    data, begin, length = token_bytes(ranks_path)
+    counts = pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat, place = ids.flatten().to_numpy(zero_copy_only=False), at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    width = length[flat]
+    ends = np.concatenate([[0], np.cumsum(width)])
+    stops = np.cumsum(counts)
+    sizes = ends[stops] - ends[stops - counts]
+    base = np.repeat(np.cumsum(sizes) - sizes, counts) + place
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    inner = np.arange(len(out)) - np.repeat(ends[:-1], width)
+    out[np.repeat(base, width) + inner] = data[np.repeat(begin[flat], width) + inner]
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(out.tobytes())])
+
+
+def _map_texts(docs: DataFrame, text: str, keep: list[str] | None, add: str, run_part: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
     keep = ["doc_id"] if keep is None else keep
     source = docs.select(*keep, F.col(text).alias("_text"))
+    names = [x.split()[0] for x in add.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, length = token_bytes(ranks_path)
         for batch in batches:
             for a, b in slices(batch.column(len(keep))):
                 part = batch.slice(a, b - a)
-                ids, counts = encode_texts([t or "" for t in part.column(len(keep)).to_pylist()], ranks_path)
-                width = length[ids]
-                ends = np.cumsum(width)
-                first = np.cumsum(counts) - counts
-                base = np.where(first > 0, ends[np.maximum(first, 1) - 1], 0) if len(ends) else np.zeros(len(counts), np.int64)
-                offsets = ends - width - np.repeat(base, counts)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], _lists(ids, counts), _lists(offsets, counts)], [*keep, "ids", "offsets"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *run_part(part.column(len(keep)).to_pylist())], [*keep, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(keep)])
-    return source.mapInArrow(run, f"{fields}{', ' if keep else ''}ids array<int>, offsets array<int>")
+    return source.mapInArrow(run, f"{fields}{', ' if keep else ''}{add}")
+
+
+def encode(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Encode every whole text by the ranks at ``ranks_path`` (a path every executor has).
+
+    Returns the columns ``keep`` (``["doc_id"]`` unless given) of each row with ``ids array<int>`` and ``offsets
+    array<int>``, the byte at which each token starts. A null or empty text gives empty arrays, an empty table no
+    rows; repeated rows are encoded one by one; other columns, whatever their names, are not looked at. No shuffle.
+    """
+    return _map_texts(docs, text, keep, "ids array<int>, offsets array<int>", lambda texts: [*_encoded(texts, ranks_path)])
+
+
+def round_trip(docs: DataFrame, ranks_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and, in the same pass over the rows, ``decoded binary``: what ``decode`` makes of the ids."""
+
+    def both(texts: list[str | None]) -> list[pa.Array]:
+        ids, offsets = _encoded(texts, ranks_path)
+        return [ids, offsets, _decoded(ids, offsets, ranks_path)]
+
+    return _map_texts(docs, text, keep, "ids array<int>, offsets array<int>, decoded binary", both)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -294,23 +329,10 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, begin, length = token_bytes(ranks_path)
         for batch in batches:
             for a in range(0, max(1, len(batch)), 512):
                 part = batch.slice(a, 512)
-                ids, at = part.column("ids"), part.column("offsets")
-                counts = pa.compute.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat, place = ids.flatten().to_numpy(zero_copy_only=False), at.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-                width = length[flat]
-                ends = np.concatenate([[0], np.cumsum(width)])
-                stops = np.cumsum(counts)
-                sizes = ends[stops] - ends[stops - counts]
-                base = np.repeat(np.cumsum(sizes) - sizes, counts) + place
-                out = np.zeros(int(sizes.sum()), np.uint8)
-                inner = np.arange(len(out)) - np.repeat(ends[:-1], width)
-                out[np.repeat(base, width) + inner] = data[np.repeat(begin[flat], width) + inner]
-                cells = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(out.tobytes())])
-                yield pa.RecordBatch.from_arrays([*part.columns, cells], [*part.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, _decoded(part.column("ids"), part.column("offsets"), ranks_path)], [*part.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, f"{fields}, decoded binary")

@@ -14,7 +14,7 @@ from .common import shared_dir, table
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), path)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest_ids("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
