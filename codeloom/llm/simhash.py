@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import components, cut, drop_cut, row_ids, sieve
+from .tokens import Words
 
 SEED = 42
 
@@ -121,12 +122,9 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             for a, b in slices(batch.column(1), 1 << 20):
                 part = batch.slice(a, b - a)
-                sets, nodes = [], []
-                for t in part.column(1).to_pylist():
-                    hashes: list[int] = []
-                    shingle_hashes(t or "", words, hashes)
-                    sets.append(np.unique(np.array(hashes, np.uint64)))
-                    nodes.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED))
+                h, counts = Words(part.column(1).to_pylist()).shingles(words)
+                sets = [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])]
+                nodes = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets]
                 size = np.array([len(x) for x in sets], np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
