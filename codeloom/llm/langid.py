@@ -176,13 +176,18 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, span: int = 48, s
         own = [p for p in spans if p[2] == label]
         kept += [own[i] for i in rng.permutation(len(own))[:most]]
     used = np.unique(np.concatenate([np.arange(a, b) for a, b, _ in kept]))
-    grams, count, whole = word_features(_take(words, used))
-    hit, member = model.members(hashes[used])
-    extra = np.bincount(hit, minlength=len(used))
+    # Features of each different word once, some thousand words at a time.
+    different, at, which = np.unique(hashes[used], return_index=True, return_inverse=True)
+    order = np.argsort(at)  # by first place, as hashes of words are taken from left to right
+    different, at, which = different[order], at[order], np.argsort(order)[which]
+    made = [word_features(_take(words, used[at[i : i + 8192]])) for i in range(0, len(at), 8192)]
+    grams, count, whole = (np.concatenate(x) for x in zip(*made, strict=True))
+    hit, member = model.members(different)
+    extra = np.bincount(hit, minlength=len(different))
     total = count + whole.shape[1] + extra
     first = np.cumsum(total) - total
     flat = np.empty(int(total.sum()), np.int64)
-    owner = np.repeat(np.arange(len(used)), count)
+    owner = np.repeat(np.arange(len(different)), count)
     flat[first[owner] + np.arange(len(grams)) - (np.cumsum(count) - count)[owner]] = grams
     for j in range(whole.shape[1]):
         flat[first + count + j] = whole[:, j]
@@ -198,7 +203,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 6, span: int = 48, s
                 chains.append([kept[i] for i in order[at : at + n]])
                 at += n
             chains = [c for c in chains if c]
-            place = np.searchsorted(used, np.concatenate([np.arange(a, b) for c in chains for a, b, _ in c]))
+            place = which[np.searchsorted(used, np.concatenate([np.arange(a, b) for c in chains for a, b, _ in c]))]
             gold = np.concatenate([np.full(b - a, label) for c in chains for a, b, label in c])
             lengths = np.array([sum(b - a for a, b, _ in c) for c in chains])
             width = total[place]

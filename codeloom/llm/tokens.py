@@ -17,6 +17,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 CODES = 0x110000
+#: Code points hashed at once.
+STRETCH = 1 << 19
 
 
 @lru_cache(4)
@@ -85,13 +87,12 @@ class Words:
 def classes(kind: str) -> tuple[np.ndarray, np.ndarray]:
     """Of every code point: whether it belongs to a word (``alpha``: letters; ``word``: letters, numbers, underscore),
     and its lower case where that is one code point."""
-    chars = [chr(c) for c in range(CODES)]
-    inside = np.fromiter(map(str.isalpha if kind == "alpha" else str.isalnum, chars), bool, CODES)
+    inside = np.fromiter(map(str.isalpha if kind == "alpha" else str.isalnum, map(chr, range(CODES))), bool, CODES)
     if kind == "word":
         inside[ord("_")] = True
     low = np.arange(CODES, dtype=np.uint32)
-    for c in np.flatnonzero(np.fromiter((x != x.lower() for x in chars), bool, CODES)).tolist():
-        if len(x := chars[c].lower()) == 1:
+    for c in np.flatnonzero(np.fromiter((x != x.lower() for x in map(chr, range(CODES))), bool, CODES)).tolist():
+        if len(x := chr(c).lower()) == 1:
             low[c] = ord(x)
     return inside, low
 
@@ -111,4 +112,11 @@ class CodeWords:
         self.counts = np.diff(np.searchsorted(self.start, self.begin))
 
     def hashes(self) -> np.ndarray:
-        return Rolled(self.codes).of(self.start, self.stop)
+        """A hash of each word, by stretches of words so that memory stays small; it does not depend on the place."""
+        out, a = np.empty(len(self.start), np.uint64), 0
+        while a < len(out):
+            b = max(a + 1, int(np.searchsorted(self.stop, self.start[a] + STRETCH, "right")))
+            lo, hi = self.start[a], self.stop[b - 1]
+            out[a:b] = Rolled(self.codes[lo:hi]).of(self.start[a:b] - lo, self.stop[a:b] - lo)
+            a = b
+        return out
