@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one is set only where the session names none and runs
+    in one process on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -35,8 +40,9 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 def drop_cut(df: DataFrame) -> None:
     """Delete the files behind a frame made by ``cut`` once nothing reads it any more."""
     spark = df.sparkSession
+    root = urlparse(shared_dir(spark)).path + "/"
     for path in {p.rpartition("/")[0] for p in df.inputFiles()}:
-        if path.startswith(("file:", shared_dir(spark).split(":")[0])) or shared_dir(spark) in path:
+        if urlparse(path).path.startswith(root):
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
