@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, lines, passages, pii, repeats, simhash, topk, wavelet
+from . import bpe, decontam, divergence, langid, lines, passages, pii, repeats, simhash, topk, wavelet
 from .common import shared_dir, table
 
 
@@ -68,7 +68,11 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam, "op10_repeats": op10_repeats}
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, scale=1_000_000_000, top=200)
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam, "op10_repeats": op10_repeats, "op13_divergence": op13_divergence}
 
 ORACLE_SQL = {
     "op2_topk": """
@@ -88,4 +92,37 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS n,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+            FROM documents
+        ), w AS (
+            SELECT lang, source, term, count(*) AS c, count(DISTINCT n) AS docs FROM (SELECT lang, source, n, unnest(words) AS term FROM d) GROUP BY ALL
+        ), kept AS (
+            SELECT lang, term, sum(c) AS c FROM w GROUP BY ALL HAVING sum(docs) >= 3
+        ), g AS (
+            SELECT DISTINCT lang, source FROM d
+        ), dense AS (
+            SELECT g.lang, g.source, k.term, k.c AS all_c, coalesce(w.c, 0) AS c
+            FROM g JOIN kept k USING (lang) LEFT JOIN w ON w.lang = g.lang AND w.source = g.source AND w.term = k.term
+        ), shares AS (
+            SELECT lang, source, term, c,
+                   1 + (1000000000::HUGEINT * (c + 1)) // (sum(c) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source))::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (all_c + 1)) // (sum(all_c) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source))::HUGEINT AS q
+            FROM dense
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), parts AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q)) // q FROM shares WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts
+        )
+        SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
