@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, divergence, langid, lines, passages, pii, repeats, simhash, topk, wavelet
+from . import bpe, decontam, divergence, langid, lines, passages, pii, repair, repeats, simhash, topk, toxicity, wavelet
 from .common import shared_dir, table
 
 
@@ -68,13 +68,101 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations"), out_of=20))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs, labels = (table(spark, sf_dir, name).withColumn("held_out", held_out) for name in ("documents", "labels"))
+    model = toxicity.fit(docs.where("not held_out"), labels.where("not held_out"))
+    found = toxicity.predict(docs, model, keep=["doc_id", "held_out"])
+    return found.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, scale=1_000_000_000, top=200)
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam, "op10_repeats": op10_repeats, "op13_divergence": op13_divergence}
+QUERIES = {"op1_bpe": op1_bpe, "op2_topk": op2_topk, "op3_passages": op3_passages, "op4_wavelet": op4_wavelet, "op5_pii": op5_pii, "op6_langid": op6_langid, "op7_lines": op7_lines, "op8_simhash": op8_simhash, "op9_decontam": op9_decontam, "op10_repeats": op10_repeats, "op11_repair": op11_repair, "op12_toxicity": op12_toxicity, "op13_divergence": op13_divergence}
+
+def _more(x: str, cost: str, letter: str) -> str:
+    """SQL for edits ``x``, nine digits of cost and the letters, with one more; least() of such strings is the cheapest, then
+    the ASCII-least."""
+    return f"lpad(CAST(CAST({x}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {x}[10:] || '{letter}'"
+
+
+def _repair_sql() -> str:
+    """Edits for each of four states (nothing, s, u, a written last) are carried over the rows of a conversation; ``b`` is
+    a row as [role, fault]."""
+    user = f"least(s[3], {_more('s[1]', '3', 'I')}, {_more('s[2]', '3', 'I')}, {_more('s[4]', '3', 'I')})"
+    assistant = f"least(s[4], {_more(f'({user})', '3', 'I')})"
+    now = ["s[1]", "s[2]", f"({user})", f"({assistant})"]
+    late = "(CASE b[2] WHEN 'truncated' THEN 3 ELSE 0 END)"
+
+    def kept(x: str, role: str) -> str:
+        return f"CASE WHEN b[1] = '{role}' AND b[2] IN ('', 'truncated') THEN {_more(x, late, 'K')} END"
+
+    def renamed(x: str) -> str:
+        return f"CASE WHEN b[2] IN ('', 'truncated') THEN {_more(x, f'3 + {late}', 'R')} END"
+
+    then = [
+        _more(now[0], "4", "D"),
+        f"least({_more(now[1], '4', 'D')}, {kept(now[0], 's')})",
+        f"least({_more(now[2], '4', 'D')}, {', '.join(f(now[k]) for k in (0, 1, 3) for f in (renamed, lambda x: kept(x, 'u')))})",
+        f"least({_more(now[3], '4', 'D')}, {renamed(now[2])}, {kept(now[2], 'a')})",
+    ]
+    return rf"""
+        WITH crc AS (
+            SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        ), fates AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ord(c) AS BIGINT)),
+                                   lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fate
+            FROM conversations, crc
+        ), hurt AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(range(CASE fate WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM fates
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM hurt
+        ), shaped AS (
+            SELECT conv_id, turn, role, text, i, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+            FROM placed
+        ), faults AS (
+            SELECT *, CASE WHEN last = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM shaped
+        ), whole AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal,
+                   list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts, list([left(role, 1), fault] ORDER BY i) AS steps
+            FROM faults GROUP BY conv_id
+        ), ways AS (
+            SELECT *, list_reduce([['000000000', NULL, NULL, NULL]::VARCHAR[]] || steps, lambda s, b: [{", ".join(then)}]) AS s FROM whole
+        ), least_ AS (
+            SELECT *, least(s[1], {now[3]}) AS best FROM ways
+        ), edits AS (
+            SELECT *, best[10:] AS audit, CAST(best[1:9] AS BIGINT) AS cost, string_split(best[10:], '') AS letters FROM least_
+        ), kept AS (
+            SELECT *, list_filter(list_transform(range(1, len(audit) + 1), lambda j: {{'letter': audit[j:j], 'row': len(replace(audit[1:j], 'I', '')), 'place': len(replace(audit[1:j], 'D', ''))}}), lambda e: e.letter <> 'D') AS out FROM edits
+        ), lines AS (
+            SELECT *, CASE WHEN out[1].letter = 'K' AND left(roles[out[1].row], 1) = 's' THEN 1 ELSE 0 END AS system FROM kept
+        ), hashed AS (
+            SELECT *, sha256(array_to_string(list_transform(out, lambda e:
+                     CASE WHEN e.letter = 'K' THEN roles[e.row] WHEN (e.place - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e.letter = 'I' THEN '' ELSE texts[e.row] END), chr(10))) AS repaired_sha256
+            FROM lines
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+               coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN hashed h ON o.conv_id IS NOT DISTINCT FROM h.conv_id
+    """
+
 
 ORACLE_SQL = {
+    "op11_repair": _repair_sql(),
     "op2_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -124,7 +124,7 @@ def test_repeated_passages_are_found(spark, world):
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", "vec_id long, embedding array<float>"), ("benchmark", "item_id long, text string")):
+    for table, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("embeddings", "vec_id long, embedding array<float>"), ("benchmark", "item_id long, text string"), ("labels", "doc_id long, quality int, toxic int"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
 
