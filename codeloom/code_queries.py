@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from .functions import helptext, names, text
 from .operators import changes, check, conventions, entrypoints, graph, grep, rights, search, similar
-from .plans import build, code
+from .plans import build, code, tokens
 from .plans.driver import Tables, sql
-from .plans.settle import settle
+from .plans.settle import settle  # noqa: F401
+from .plans.tokens import Scan
 from .registry import query
 
 #: Number of the order in a module path or routine name, for SQL.
@@ -37,7 +38,7 @@ _CALLS = """calls AS (SELECT path, name AS routine, base + 5 AS line, CAST(NULL
 @query("c02_call_sites", sql("SELECT path, routine, line, qualifier, method, args, used FROM calls", "code", more=_CALLS))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    found = code.call_sites(m, settle(code.routines(m)))
+    found = code.call_sites(m, None)
     return found.withColumn("line", F.col("line").cast("int"))
 
 
@@ -49,40 +50,40 @@ _DECLARED = """declared AS (SELECT path, name AS routine, 'Итог' AS name, ba
 @query("c06_declared", sql("SELECT path, routine, name, line FROM declared", "code", more=_DECLARED))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    return code.declared(m, settle(code.routines(m))).withColumn("line", F.col("line").cast("int"))
+    return code.declared(m, None).withColumn("line", F.col("line").cast("int"))
 
 
 @query("c28_visible_names", sql("SELECT c.path, c.base + 7 AS line, d.name FROM code c JOIN declared d ON d.path = c.path AND d.routine = c.name AND d.line <= c.base + 7 UNION ALL SELECT path, base + 7, unnest(['Первый', 'Второй']) FROM code", "code", more=_DECLARED))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    found = settle(code.routines(m))
-    points = found.select("path", (F.col("start_line") + 4).alias("line"))
-    return code.visible(points, m, found).withColumn("line", F.col("line").cast("int"))
+    scan = Scan(m)
+    points = scan.routines.select("path", (F.col("start_line") + 4).alias("line"))
+    return code.visible(points, m, scan.routines, scan).withColumn("line", F.col("line").cast("int"))
 
 
 @query("c07_inferred_types", sql("SELECT path, name AS routine, 'Итог' AS name, base + 4 AS line, CASE WHEN k % 3 = 0 THEN 'Структура' ELSE 'Массив' END AS type FROM code", "code"))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    return code.inferred_types(m, settle(code.routines(m))).withColumn("line", F.col("line").cast("int"))
+    return code.inferred_types(m, None).withColumn("line", F.col("line").cast("int"))
 
 
 @query("w05_last_types", sql("""SELECT path, name AS routine, 'Итог' AS name, CASE WHEN is_function AND k % 6 <> 0 OR NOT is_function AND k % 6 = 1 THEN CASE WHEN k % 3 = 0 THEN 'Структура' ELSE 'Массив' END END AS type FROM code
     UNION ALL SELECT path, routine, name, NULL FROM declared WHERE name <> 'Итог'""", "code", more=_DECLARED))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    return code.last_types(m, settle(code.routines(m)))
+    return code.last_types(m, None)
 
 
 @query("c04_query_tables", sql("SELECT path, name AS routine, base + 7 AS line, 'Document.D' || (k % 4) AS target_id, 'query' AS context FROM code", "code"))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    return code.query_tables(m, settle(code.routines(m))).withColumn("line", F.col("line").cast("int"))
+    return code.query_tables(m, code.routines(m)).withColumn("line", F.col("line").cast("int"))
 
 
 @query("c05_metadata_access", sql("SELECT path, name AS routine, base + 6 AS line, 'Catalog.C' || (k % 7) AS target_id, 'code' AS context FROM code", "code"))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    return code.accesses(m, settle(code.routines(m))).withColumn("line", F.col("line").cast("int"))
+    return code.accesses(m, None).withColumn("line", F.col("line").cast("int"))
 
 
 @query("w03_comment_heads", sql("SELECT path, base + 3 AS n, '// ' || priority AS comment_head FROM code", "code"))
@@ -95,10 +96,8 @@ def _(t: Tables) -> DataFrame:
 @query("c26_draft_check", sql("""SELECT path, line, rule, severity, name FROM (
     SELECT path, line, CASE WHEN method LIKE 'Нет%' THEN 'unknown-routine' END AS rule, 'error' AS severity, method AS name FROM calls WHERE qualifier IS NULL
     UNION ALL SELECT path, line, 'argument-count', 'error', method FROM calls WHERE qualifier IS NULL AND args = 3
-    UNION ALL SELECT path, line, 'function-as-procedure', 'warning', method FROM calls WHERE qualifier IS NULL AND method LIKE 'Order%' AND is_function
-    UNION ALL SELECT path, line, 'not-exported', 'error', method FROM calls WHERE qualifier = module AND NOT is_export
+    UNION ALL SELECT path, line, 'function-as-procedure', 'info', method FROM calls WHERE qualifier IS NULL AND method LIKE 'Order%' AND is_function
     UNION ALL SELECT path, line, 'procedure-as-function', 'error', method FROM calls WHERE qualifier = module AND NOT is_function
-    UNION ALL SELECT path, line, 'unused-variable', 'warning', name FROM declared WHERE NOT is_read
     UNION ALL SELECT path, base + 3, 'unused-parameter', 'warning', 'Второй' FROM code
     UNION ALL SELECT path, base + 3, 'function-without-return', 'error', name FROM code WHERE is_function AND k % 6 = 0
     UNION ALL SELECT path, base + 10, 'code-after-return', 'warning', name FROM code WHERE k % 6 = 1) WHERE rule IS NOT NULL""", "code", more=_CALLS + ",\n" + _DECLARED))
@@ -106,12 +105,77 @@ def _(t: Tables) -> DataFrame:
     return check.draft(t.modules).withColumn("line", F.col("line").cast("int"))
 
 
+# The same over irregular code
+
+
+@query("c01_token_kinds", sql("""SELECT path, base + i AS n, kinds FROM (SELECT path, base, unnest(range(1, 13)) AS i, unnest([CASE WHEN k % 2 = 0 THEN 'd' END, 'a', 'kcoco', 'kcolocoolo' || CASE WHEN is_export THEN 'k' ELSE '' END, 'kcoco', 'cococololoo', 'lococooocololololoo',
+    'col', 'l', 'lococoo', 'kcolkcocok' || CASE WHEN k % 13 = 2 THEN '' WHEN is_function THEN 'kco' ELSE 'ko' END || 'ko', CASE WHEN k % 7 = 1 THEN 'kocolo' END]) AS kinds FROM script) WHERE kinds IS NOT NULL""", "script"))
+def _(t: Tables) -> DataFrame:
+    found = tokens.plain_tokens(t.scripts)
+    kinds = found.groupBy("path", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "kind"))), lambda s: s["kind"]), "").alias("kinds"), F.min(F.struct("at", "text"))["text"].alias("first"))
+    # The lines of a routine up to the one that not all have: they begin with these words, and no later line does.
+    late = F.col("first").isin("Справочники.C0.Найти", "КонецФункции", "КонецПроцедуры", "#КонецЕсли", "Итог", ")") | F.col("first").rlike(r"^(Справочники|M[0-9])")
+    return kinds.where(~late).select("path", F.col("n").cast("int").alias("n"), "kinds")
+
+
+@query("c02_irregular_calls", sql("SELECT path, routine, line, qualifier, method, args, used, nested FROM said", "script"))
+def _(t: Tables) -> DataFrame:
+    return Scan(t.scripts).calls().select("path", "routine", F.col("line").cast("int").alias("line"), "qualifier", "method", "args", "used", "nested")
+
+
+@query("c02_irregular_routines", sql("""SELECT path, name, CASE WHEN is_function THEN 'Function' ELSE 'Procedure' END AS kind, is_export, base + 3 AS start_line,
+    CASE WHEN k % 17 <> 0 THEN base + size - CASE WHEN k % 5 = 0 THEN 1 ELSE 0 END - CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END WHEN after IS NULL THEN total ELSE base + size + 3 END AS end_line, 3 AS total, 1 AS required, 'Первый,Второй,Третий' AS parameters FROM script""", "script"))
+def _(t: Tables) -> DataFrame:
+    return code.routines(t.scripts).select("path", "name", "kind", "is_export", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), "total", "required", F.array_join("parameters", ",").alias("parameters"))
+
+
+@query("c06_resolved_names", sql("""SELECT path, base + 7 AS line, name, kind, line AS declared FROM (
+    SELECT path, base, 'ТРЕТИЙ' AS name, 'Parameter' AS kind, base + 3 AS line FROM script UNION ALL SELECT path, base, 'счет', 'Local', base + 5 FROM script
+    UNION ALL SELECT path, base, 'Итог', CASE WHEN k % 4 = 1 THEN 'Local' END, CASE WHEN k % 4 = 1 THEN at9 + CASE WHEN k % 9 IN (4, 5) THEN 2 ELSE 1 END END FROM script
+    UNION ALL SELECT path, base, name, 'Routine', base + 3 FROM script)""", "script"))
+def _(t: Tables) -> DataFrame:
+    scan = Scan(t.scripts)
+    asked = F.explode(F.array(F.lit("ТРЕТИЙ"), F.lit("счет"), F.lit("Итог"), F.col("name")))
+    points = scan.routines.select("path", (F.col("start_line") + 4).alias("line"), asked.alias("asked"))
+    out = code.resolve_names(points.select("path", "line", F.col("asked").alias("name")), scan)
+    return out.select("path", F.col("line").cast("int").alias("line"), "name", "kind", F.col("declared").cast("int").alias("declared"))
+
+
+@query("c26_irregular_draft", sql("""SELECT DISTINCT path, line, rule, severity, name FROM (
+    SELECT path, line, 'unknown-routine' AS rule, 'error' AS severity, method AS name FROM said WHERE qualifier IS NULL AND method NOT IN ('Сообщить') AND method NOT LIKE 'Order%'
+    UNION ALL SELECT s.path, line, 'procedure-as-function', 'error', method FROM said s JOIN script c USING (k) WHERE method = c.name AND (qualifier IS NULL OR qualifier = c.module) AND used AND NOT is_function
+    UNION ALL SELECT path, line, 'argument-count', 'error', method FROM said WHERE args = 4
+    UNION ALL SELECT s.path, line, 'function-as-procedure', 'info', method FROM said s JOIN script c USING (k) WHERE args = 4 AND is_function
+    UNION ALL SELECT s.path, line, 'function-as-procedure', 'info', method FROM said s JOIN script c USING (k) WHERE k % 9 = 4 AND qualifier = 'M' || fcust AND line > c.at9 AND ff
+    UNION ALL SELECT s.path, line, 'not-exported', 'error', method FROM said s JOIN script c USING (k) WHERE k % 9 = 4 AND qualifier = 'M' || fcust AND line > c.at9 AND NOT fe AND cust <> fcust
+    UNION ALL SELECT path, line, 'unknown-method', 'error', method FROM said WHERE method = 'Нет'
+    UNION ALL SELECT path, at3 + 1, 'unknown-metadata', 'error', 'Catalog.C' || (k % 7) FROM script WHERE k % 3 = 0 AND k % 7 >= 5
+    UNION ALL SELECT path, base + 3, 'unused-parameter', 'warning', 'Третий' FROM script WHERE k % 3 <> 0
+    UNION ALL SELECT path, base + 5, 'unused-variable', 'warning', 'Лишний' FROM script
+    UNION ALL SELECT path, base + 3, 'function-without-return', 'error', name FROM script WHERE is_function AND k % 13 = 2 AND k % 7 <> 1
+    UNION ALL SELECT path, base + 12, 'code-after-return', 'warning', name FROM script WHERE k % 7 = 1)""", "script"))
+def _(t: Tables) -> DataFrame:
+    objects = t["region"].select(F.concat(F.lit("Catalog.C"), F.col("r_regionkey").cast("string")).alias("id"))
+    known = t.spark.sql("select 'сообщить' as name")
+    return check.draft(t.scripts, objects, known).withColumn("line", F.col("line").cast("int"))
+
+
+@query("j14_irregular_stages", sql("""SELECT path, routine, line, CASE stage WHEN 0 THEN 'routine:module:' || path || '#' || method WHEN 1 THEN 'routine:module:CommonModules/' || qualifier || '/Ext/Module.bsl#' || method WHEN 2 THEN 'routine:module:CommonModules/' || substr(qualifier, 14) || '/Ext/Module.bsl#' || method
+    WHEN 3 THEN 'Platform.Сообщить' WHEN 4 THEN 'Platform.Массив.Добавить' ELSE CASE WHEN qualifier IS NULL THEN 'call:CommonModule.' || split_part(path, '/', 2) || '.' || method ELSE 'call:' || qualifier || '.' || method END END AS target_id, stage FROM (
+    SELECT *, CASE WHEN qualifier IS NULL AND method LIKE 'Order%' THEN 0 WHEN qualifier LIKE 'M%' AND method LIKE 'Order%' THEN 1 WHEN qualifier LIKE 'CommonModule.%' THEN 2 WHEN method = 'Сообщить' THEN 3 WHEN method = 'Добавить' THEN 4 ELSE 5 END AS stage FROM said WHERE NOT nested)""", "script"))
+def _(t: Tables) -> DataFrame:
+    m = t.scripts
+    scan = Scan(m)
+    topics = t.spark.sql("select * from values ('Сообщить'), ('Массив.Добавить') t(name)")
+    out = build.resolve(code.calls(m, scan.routines, scan, nested=False), scan.routines, topics, code.last_types(m, scan.routines, scan))
+    return out.select("path", "routine", F.col("line").cast("int").alias("line"), "target_id", "stage")
+
+
 @query("a22_problems_by_severity", sql("SELECT 'warning' AS severity, count(*) AS n FROM code WHERE k % 6 = 1 UNION ALL SELECT 'error', count(*) FROM code WHERE is_function AND k % 6 = 0", "code"))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    lines = settle(code.code_lines(m))
-    found = settle(code.routines(m, lines))
-    told = code.after_return(found, lines).select(F.lit("warning").alias("severity")).union(code.functions_without_return(found, lines).select(F.lit("error")))
+    scan = Scan(m)
+    told = code.after_return(scan).select(F.lit("warning").alias("severity")).union(code.functions_without_return(scan).select(F.lit("error")))
     return check.by_severity(told)
 
 
@@ -120,9 +184,10 @@ def _(t: Tables) -> DataFrame:
     CASE WHEN qualifier IS NULL AND method LIKE 'Order%' THEN 0 WHEN qualifier = module THEN 1 WHEN method IN ({_HELP.replace("VALUES ", "").replace("(", "").replace(")", "")}) THEN 3 ELSE 5 END AS stage FROM calls""", "code", more=_CALLS))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    found = settle(code.routines(m))
+    scan = Scan(m)
+    found = scan.routines
     topics = t.spark.sql(f"select * from {_HELP} t(name)")
-    out = build.resolve(code.calls(m, found), found, topics, code.last_types(m, found))
+    out = build.resolve(code.calls(m, found, scan), found, topics, code.last_types(m, found, scan))
     return out.select("path", "routine", F.col("line").cast("int").alias("line"), "target_id", "stage")
 
 
@@ -149,8 +214,9 @@ def _(t: Tables) -> DataFrame:
     UNION ALL SELECT path, name, 'query', 'Document.D' || (k % 4) FROM code UNION ALL SELECT path, name, 'name', lower(name) FROM code) GROUP BY ALL""", "code", more=_CALLS))
 def _(t: Tables) -> DataFrame:
     m = t.modules
-    found = settle(code.routines(m))
-    f = similar.routine_features(code.calls(m, found), code.accesses(m, found), code.query_tables(m, found), found)
+    scan = Scan(m)
+    found = scan.routines
+    f = similar.routine_features(code.calls(m, found, scan), code.accesses(m, found, scan), code.query_tables(m, found), found)
     return f.groupBy("category", "value").agg(F.countDistinct("path", "routine").alias("routines"))
 
 

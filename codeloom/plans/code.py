@@ -1,7 +1,7 @@
-"""Structure of module code as DataFrame steps over lines: routines, regions, calls, metadata accesses, query tables.
+"""Structure of module code: routines, regions, calls, names, metadata accesses, query tables, from the token scan.
 
-There is no parser: headers, calls and tables are found by patterns on lines whose strings and comments are blanked,
-and what needs memory (which routine or region a line is in) is a window or a range join within the module.
+Each question is a filter or one aggregate over the settled frames of a ``Scan``; which routine a line is in is an as-of
+join by a sorted window.
 """
 
 from __future__ import annotations
@@ -11,12 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import COLLECTIONS, QUERY_TABLES, mapped
 from ..operators.grep import lines as numbered
-
-NAME = r"[\p{L}_][\p{L}\p{N}_]*"
-HEADER = rf"(?iu)^\s*(?:Асинх\s+)?(Процедура|Функция)\s+({NAME})\s*\("
-END = r"(?iu)^\s*(КонецПроцедуры|КонецФункции)"
-# Words before a bracket that are no calls.
-KEYWORDS = ("если", "иначеесли", "пока", "для", "каждого", "возврат", "и", "или", "не", "новый", "процедура", "функция", "из", "по", "цикл", "тогда", "выполнить", "in", "if", "while", "new", "or", "and", "not", "return")
+from .tokens import NAME, RETURN, Scan, is_target, plain_tokens
 
 
 def code_lines(texts: DataFrame) -> DataFrame:
@@ -29,66 +24,60 @@ def code_lines(texts: DataFrame) -> DataFrame:
     return raw.select("path", "n", "line", code.alias("code"), F.regexp_replace(quoted, "//.*$", "").alias("quoted"))
 
 
-def routines(texts: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+ROUTINE = ["path", "kind", "name", "is_export", "start_line", "end_line", "parameters", "total", "required", "body_line"]
+
+
+def routines(texts: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, kind, name, is_export, start_line, end_line, parameters array, total, required, body_line`` of every routine;
-    the body begins below the line that closes the parameters.
+    the body begins below the line that closes the parameters."""
+    return (scan or Scan(texts)).routines.select(*ROUTINE)
 
-    The k-th header of a module closes at the k-th end; parameters may stand on several lines, so they are cut from the
-    text that the lines from the header on make.
-    """
-    code = code_lines(texts) if lines is None else lines
-    head, tail = code.where(F.col("code").rlike(HEADER)), code.where(F.col("code").rlike(END))
-    nth = F.row_number().over(Window.partitionBy("path").orderBy("n"))
-    ends = tail.select("path", F.col("n").alias("end_line"), nth.alias("k"))
-    text = code.groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "code"))), lambda s: s["code"]), "\n").alias("t"))
-    found = text.select("path", F.posexplode(F.regexp_extract_all("t", F.lit(rf"(?iu)(?:^|\n)\s*(?:Асинх\s+)?(?:Процедура|Функция)\s+{NAME}\s*\(([^)]*\)\s*(?:Экспорт)?)"), F.lit(1))).alias("k", "rest"))
-    heads = head.select("path", F.col("n").alias("start_line"), F.initcap(F.regexp_extract("code", HEADER, 1)).alias("word"), F.regexp_extract("code", HEADER, 2).alias("name"), nth.alias("k"))
-    joined = heads.join(ends, ["path", "k"], "left").join(found.select("path", (F.col("k") + 1).alias("k"), "rest"), ["path", "k"], "left")
-    params = F.filter(F.transform(F.split(F.split_part("rest", F.lit(")"), F.lit(1)), ","), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    bare = F.transform(params, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"(?iu)^Знач\s+", ""), "=.*$", "")))
-    defaults = F.transform(params, lambda p: p.contains("="))
-    first = F.array_position(defaults, True)
-    return joined.select(
-        "path", F.when(F.col("word") == "Функция", "Function").otherwise("Procedure").alias("kind"), "name", F.col("rest").rlike("(?iu)экспорт$").alias("is_export"), "start_line", "end_line",
-        bare.alias("parameters"), F.size(params).alias("total"), F.when(first > 0, first - 1).otherwise(F.size(params)).cast("int").alias("required"),
-        (F.col("start_line") + F.size(F.split(F.split_part("rest", F.lit(")"), F.lit(1)), "\n"))).alias("body_line"),
-    )
-
-
-def regions(texts: DataFrame) -> DataFrame:
-    """``path, name, depth, start_line, end_line``: an opening at a depth closes at the next end at that depth."""
-    marks = code_lines(texts).select("path", "n", F.regexp_extract("code", rf"(?iu)^\s*#Область\s+({NAME})", 1).alias("name"), F.col("code").rlike(r"(?iu)^\s*#КонецОбласти").alias("ends")).where("name <> '' or ends")
+
+def regions(texts: DataFrame, scan: Scan | None = None) -> DataFrame:
+    """``path, name, depth, start_line, end_line``: an opening at a depth closes at the next end at that depth, or with the
+    module; an end without an opening does nothing."""
+    t = scan.tokens if scan else plain_tokens(texts)
+    word = F.lower(F.regexp_extract("text", rf"^#({NAME})", 1))
+    marks = t.where("kind = 'd'").select("path", "n", "total", F.trim(F.regexp_replace("text", rf"^#{NAME}", "")).alias("name"), word.isin("конецобласти", "endregion").alias("ends"), word.alias("word")).where(F.col("word").isin("область", "region", "конецобласти", "endregion"))
     step = F.when(F.col("ends"), -1).otherwise(1)
     w = Window.partitionBy("path").orderBy("n")
-    levelled = marks.withColumn("after", F.sum(step).over(w)).withColumn("depth", F.when(F.col("ends"), F.col("after")).otherwise(F.col("after") - 1))
-    nth = F.row_number().over(Window.partitionBy("path", "depth", "ends").orderBy("n"))
-    ranked = levelled.withColumn("k", nth)
-    opens, closes = ranked.where("not ends").select("path", "depth", "k", "name", F.col("n").alias("start_line")), ranked.where("ends").select("path", "depth", "k", F.col("n").alias("end_line"))
-    return opens.join(closes, ["path", "depth", "k"], "left").select("path", "name", "depth", "start_line", "end_line")
+    levelled = marks.withColumn("sum", F.sum(step).over(w)).withColumn("floor", F.least(F.min("sum").over(w), F.lit(0)))
+    # A stray end lowers the floor; it takes no level.
+    stray = F.col("ends") & (F.col("floor") < F.coalesce(F.lag("floor").over(w), F.lit(0)))
+    levelled = levelled.withColumn("stray", stray).where("not stray").withColumn("depth", F.col("sum") - F.col("floor") - F.when(F.col("ends"), 0).otherwise(1))
+    closing = F.lead(F.when(F.col("ends"), F.col("n"))).over(Window.partitionBy("path", "depth").orderBy("n"))
+    return levelled.withColumn("end_line", F.coalesce(closing, F.col("total"))).where("not ends").select("path", "name", F.col("depth").cast("long").alias("depth"), F.col("n").alias("start_line"), "end_line")
 
 
 def inside(rows: DataFrame, found: DataFrame, first: str = "start_line") -> DataFrame:
-    """``rows(path, n, ...)`` with the ``routine`` they stand in, from its line ``first`` on; the module is the join key."""
-    r = found.select(F.col("path").alias("_p"), F.col("name").alias("routine"), F.col(first).alias("_first"), F.col("end_line").alias("_last"))
-    return rows.join(r, (F.col("path") == F.col("_p")) & F.col("n").between(F.col("_first"), F.col("_last")), "left").drop("_p", "_first", "_last")
+    """``rows(path, n, ...)`` with the ``routine`` they stand in, from its line ``first`` on.
 
+    An as-of join: rows and headers of a module are sorted together, and each row takes the last header at or before its
+    line, if that routine has not ended. Linear in the rows of a module, whatever the number of its routines.
+    """
+    names = rows.columns
+    blank = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names if c != "path"]
+    head = F.struct(F.col("name").alias("name"), F.col("end_line").alias("last"))
+    starts = found.select("path", *blank, F.col(first).cast("long").alias("_n"), F.lit(0).alias("_kind"), F.struct(F.col("start_line"), head.alias("h")).alias("_head"))
+    own = rows.select("path", *[c for c in names if c != "path"], F.col("n").cast("long").alias("_n"), F.lit(1).alias("_kind"), F.lit(None).cast(starts.schema["_head"].dataType).alias("_head"))
+    w = Window.partitionBy("path").orderBy("_n", "_kind", "_head.start_line")
+    met = starts.unionByName(own).withColumn("_open", F.last("_head", ignorenulls=True).over(w)).where("_kind = 1")
+    return met.select(*names, F.when(F.col("_open.h.last") >= F.col("_n"), F.col("_open.h.name")).alias("routine"))
 
-def calls(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``path, routine, line, callee, qualifier, method``; calls in arguments count too."""
-    code = code_lines(texts).where(~F.col("code").rlike(HEADER))
-    hit = code.select("path", "n", F.explode(F.regexp_extract_all("code", F.lit(rf"(?<![\p{{L}}\p{{N}}_.])((?:{NAME}\.)*{NAME})\s*\("), F.lit(1))).alias("callee"))
-    free = inside(hit, found).where(~F.lower(F.substring_index("callee", ".", -1)).isin(*KEYWORDS))
-    qualifier = F.when(F.contains("callee", F.lit(".")), F.regexp_replace("callee", r"\.[^.]*$", ""))
-    return free.select("path", "routine", F.col("n").alias("line"), "callee", qualifier.alias("qualifier"), F.substring_index("callee", ".", -1).alias("method"))
 
+def calls(texts: DataFrame, found: DataFrame, scan: Scan | None = None, nested: bool = True) -> DataFrame:
+    """``path, routine, line, callee, qualifier, method``; calls in arguments of calls only if ``nested``."""
+    told = (scan or Scan(texts)).calls()
+    return (told if nested else told.where("not nested")).select("path", "routine", "line", "callee", "qualifier", "method")
 
-def accesses(texts: DataFrame, found: DataFrame) -> DataFrame:
-    """``path, routine, line, target_id, context='code'``: collections of the metadata used in code."""
-    pattern = rf"(?<![\p{{L}}\p{{N}}_.])({NAME}\.{NAME})"
-    hit = code_lines(texts).select("path", "n", F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(1))).alias("x"))
-    kind = mapped(COLLECTIONS, F.split_part("x", F.lit("."), F.lit(1)), fold=False)
-    named = inside(hit.withColumn("kind", kind).where("kind is not null"), found)
-    return named.select("path", "routine", F.col("n").alias("line"), F.concat("kind", F.lit("."), F.split_part("x", F.lit("."), F.lit(2))).alias("target_id"), F.lit("code").alias("context"))
+
+def accesses(texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
+    """``path, routine, line, target_id, context='code'``: collections of the metadata used in code, also by way of
+    ``Метаданные``."""
+    x = F.regexp_replace(F.regexp_replace("text", r"\s+", ""), "^Метаданные[.]", "")
+    hit = (scan or Scan(texts)).tokens.where("kind = 'c'").select("path", "routine", "n", F.regexp_extract(x, rf"^({NAME})[.]{NAME}", 1).alias("head"), F.regexp_extract(x, rf"^{NAME}[.]({NAME})", 1).alias("object")).where("head <> ''")
+    named = hit.withColumn("kind", mapped(COLLECTIONS, F.col("head"), fold=False)).where("kind is not null")
+    return named.select("path", "routine", F.col("n").alias("line"), F.concat("kind", F.lit("."), "object").alias("target_id"), F.lit("code").alias("context"))
 
 
 def query_tables(texts: DataFrame, found: DataFrame) -> DataFrame:
@@ -106,78 +95,85 @@ def query_tables(texts: DataFrame, found: DataFrame) -> DataFrame:
     return named.select("path", "routine", F.col("n").alias("line"), F.concat("kind", F.lit("."), F.split_part("x", F.lit("."), F.lit(2))).alias("target_id"), F.lit("query").alias("context"))
 
 
-def declared(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def declared(texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, routine, name, line``: variables that a routine declares or assigns first, and loop variables."""
-    code = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
-    patterns = (rf"(?iu)^\s*({NAME})\s*=", rf"(?iu)^\s*Перем\s+({NAME})", rf"(?iu)^\s*Для\s+(?:Каждого\s+)?({NAME})\s")
-    names = F.filter(F.array(*[F.regexp_extract("code", p, 1) for p in patterns]), lambda x: x != "")
-    hit = inside(code.select("path", "n", F.explode(names).alias("name")), found, "body_line").where("routine is not null")
-    return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.min(F.struct("n", "name")).alias("f")).select("path", "routine", "f.name", F.col("f.n").alias("line"))
+    hit = (scan or Scan(texts)).assigned().where("routine is not null")
+    return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.min(F.struct("at", "line", "name")).alias("f")).select("path", "routine", "f.name", "f.line")
+
+
+def module_variables(scan: Scan) -> DataFrame:
+    """``path, name, line`` of ``Перем`` outside of routines."""
+    return scan.assigned().where("routine is null and variable").select("path", "name", "line")
 
 
-def names_read(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
+def names_read(texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, routine, name``: names that a routine reads; what stands left of an assignment is not read."""
-    body = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
-    right = F.regexp_replace("code", rf"(?iu)^\s*(?:{NAME}\s*=(?!=)|Перем\s.*$|Для\s+(?:Каждого\s+)?{NAME}\s)", " ")
-    names = F.array_distinct(F.regexp_extract_all(right, F.lit(rf"(?<![\p{{L}}\p{{N}}_.])({NAME})"), F.lit(1)))
-    return inside(body.select("path", "n", F.explode(names).alias("name")), found, "body_line").where("routine is not null").select("path", "routine", "name").distinct()
-
-
-def call_sites(texts: DataFrame, found: DataFrame, lines: DataFrame | None = None) -> DataFrame:
-    """``path, routine, line, qualifier, method, args, used``: calls of a line that are not arguments of another one,
-    how many arguments they have, and whether their result is used (not so where the call is the statement)."""
-    body = (code_lines(texts) if lines is None else lines).where(~F.col("code").rlike(HEADER))
-    # Brackets inside brackets go, so that commas left in an argument list part its arguments.
-    flat = F.col("code")
-    for _ in range(4):
-        flat = F.regexp_replace(flat, r"(\([^()]*)\([^()]*\)", "$1")
-    pattern = rf"(?<![\p{{L}}\p{{N}}_.])((?:{NAME}\.)*{NAME})\s*\(([^()]*)\)"
-    at = body.select("path", "n", flat.alias("code"))
-    hit = at.select("path", "n", "code", F.explode(F.regexp_extract_all("code", F.lit(pattern), F.lit(0))).alias("call"))
-    callee, inner = F.regexp_extract("call", pattern, 1), F.regexp_extract("call", pattern, 2)
-    alone = F.regexp_replace(F.col("code"), r"^\s+|[\s;]+$", "") == F.col("call")
-    told = hit.select("path", "n", callee.alias("callee"), F.when(F.trim(inner) == "", 0).otherwise(F.size(F.split(inner, ","))).alias("args"), (~alone).alias("used"))
-    free = inside(told, found).where(~F.lower(F.substring_index("callee", ".", -1)).isin(*KEYWORDS))
-    qualifier = F.when(F.contains("callee", F.lit(".")), F.regexp_replace("callee", r"\.[^.]*$", ""))
-    return free.select("path", "routine", F.col("n").alias("line"), qualifier.alias("qualifier"), F.substring_index("callee", ".", -1).alias("method"), "args", "used")
-
-
-def functions_without_return(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """Functions in which no line returns a value."""
-    returns = inside(lines.where(F.col("code").rlike(r"(?iu)(?<![\p{L}\p{N}_.])Возврат\s+[^;\s]")).select("path", "n"), found).select("path", F.col("routine").alias("name")).distinct()
-    return found.where("kind = 'Function'").join(returns, ["path", "name"], "left_anti")
-
-
-def after_return(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """``path, routine, line``: the first statement after a line that returns, where no block ends or branches between."""
-    full = lines.select("path", "n", F.trim("code").alias("c")).where("c <> ''")
-    w = Window.partitionBy("path").orderBy("n")
-    told = full.select("path", F.lead("n").over(w).alias("n"), F.lead("c").over(w).alias("next"), F.col("c").rlike(r"(?iu)^Возврат(?![\p{L}\p{N}_]).*;$").alias("returns"))
-    closing = r"(?iu)^(Конец\p{L}*|Иначе\p{L}*|Исключение|#.*|~.*)"
-    hit = told.where(F.col("returns") & F.col("next").isNotNull() & ~F.col("next").rlike(closing)).select("path", "n")
-    return inside(hit, found).where("routine is not null").select("path", "routine", F.col("n").alias("line"))
+    return (scan or Scan(texts)).read().select("path", "routine", "name").distinct()
+
+
+def call_sites(texts: DataFrame, found: DataFrame, scan: Scan | None = None, nested: bool = False) -> DataFrame:
+    """``path, routine, line, qualifier, method, args, used``: calls, those in arguments of others only if ``nested``, how
+    many arguments they have (-1: the bracket never closes), and whether their result is used (null: not clear)."""
+    told = (scan or Scan(texts)).calls()
+    return (told if nested else told.where("not nested")).select("path", "routine", "line", "qualifier", "method", "args", "used")
+
+
+def functions_without_return(scan: Scan) -> DataFrame:
+    """Functions without the word that returns."""
+    returns = scan.tokens.where(F.lower("text").isin(RETURN) & (F.col("kind") == "k") & F.col("head_at").isNotNull()).select("path", F.lower("routine").alias("_key")).distinct()
+    found = scan.routines.where("kind = 'Function'").withColumn("_key", F.lower("name"))
+    return found.join(returns, ["path", "_key"], "left_anti").select(*ROUTINE)
 
 
-def visible(points: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+def after_return(scan: Scan) -> DataFrame:
+    """``path, routine, line``: what stands behind a statement that returns, where no block ends or branches there."""
+    return scan.tokens.where("late").select("path", "routine", F.col("n").alias("line")).distinct()
+
+
+def visible(points: DataFrame, texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, line, name``: parameters of the routine around each ``points(path, line)`` and variables declared in it up
     to that line."""
+    scan = scan or Scan(texts)
     at = inside(points.select("path", F.col("line").alias("n")).distinct(), found).where("routine is not null")
     parameters = found.select("path", F.col("name").alias("routine"), F.explode("parameters").alias("name"), F.lit(0).alias("from"))
-    names = parameters.union(declared(texts, found).select("path", "routine", "name", "line"))
+    names = parameters.union(declared(texts, found, scan).select("path", "routine", "name", "line"))
     return at.join(names, ["path", "routine"]).where(F.col("from") <= F.col("n")).select("path", F.col("n").alias("line"), "name").distinct()
 
 
-def inferred_types(texts: DataFrame, found: DataFrame) -> DataFrame:
+def resolve_names(points: DataFrame, scan: Scan) -> DataFrame:
+    """``path, line, name, kind, declared`` for each ``points(path, line, name)``: the parameter, local variable, variable of
+    the module or routine that a name means at a line, without case, and the line that declares it; null where none does.
+
+    An as-of join in two steps: the routine around the line, then the last declaration of that name in the routine up to
+    the line; a declaration that comes later in the routine counts where none comes before.
+    """
+    asked = points.select("path", F.col("line").alias("n"), "name").distinct()
+    at = inside(asked, scan.routines).withColumn("key", F.lower("name"))
+    own = scan.routines.select("path", F.col("name").alias("routine"), F.explode("parameters").alias("p"), F.col("start_line").alias("l")).select("path", "routine", F.lower("p").alias("key"), F.struct(F.lit(0).alias("rank"), F.lit("Parameter").alias("kind"), F.col("l").alias("line")).alias("d"))
+    local = scan.assigned().where("routine is not null").groupBy("path", "routine", F.lower("name").alias("key")).agg(F.min("line").alias("l")).select("path", "routine", "key", F.struct(F.lit(1).alias("rank"), F.lit("Local").alias("kind"), F.col("l").alias("line")).alias("d"))
+    inner = own.union(local).groupBy("path", "routine", "key").agg(F.min("d").alias("inner"))
+    wide = module_variables(scan).groupBy("path", F.lower("name").alias("key")).agg(F.min("line").alias("l")).select("path", "key", F.struct(F.lit(2).alias("rank"), F.lit("ModuleVariable").alias("kind"), F.col("l").alias("line")).alias("d"))
+    named = scan.routines.groupBy("path", F.lower("name").alias("key")).agg(F.min("start_line").alias("l")).select("path", "key", F.struct(F.lit(3).alias("rank"), F.lit("Routine").alias("kind"), F.col("l").alias("line")).alias("d"))
+    outer = wide.union(named).groupBy("path", "key").agg(F.min("d").alias("outer"))
+    met = at.join(inner, ["path", "routine", "key"], "left").join(outer, ["path", "key"], "left").withColumn("d", F.coalesce("inner", "outer"))
+    return met.select("path", F.col("n").alias("line"), "name", "d.kind", F.col("d.line").alias("declared"))
+
+
+def created(scan: Scan) -> DataFrame:
+    """``path, routine, name, line, at, type`` of every assignment to a name; ``type`` where it creates an object by
+    ``Новый T`` or ``Новый("T")`` and nothing else stands in it."""
+    t = scan.tokens
+    made = t.where("made is not null").groupBy("path", "block", F.col("made.name").alias("name")).agg(F.min("made.type").alias("type"))
+    targets = t.where((F.col("kind") == "c") & (F.col("f1.text") == "=") & F.col("routine").isNotNull() & is_target()).select("path", "routine", F.col("text").alias("name"), F.col("n").alias("line"), "at", "block")
+    return targets.join(made, ["path", "block", "name"], "left").select("path", "routine", "name", "line", "at", "type")
+
+
+def inferred_types(texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, routine, name, line, type`` of ``X = Новый T`` assignments; the last one before a line is its type."""
-    code = code_lines(texts)
-    p = rf"(?iu)^\s*({NAME})\s*=\s*Новый\s+({NAME})"
-    hit = inside(code.select("path", "n", F.regexp_extract("code", p, 1).alias("name"), F.regexp_extract("code", p, 2).alias("type")).where("name <> ''"), found)
-    return hit.select("path", "routine", "name", F.col("n").alias("line"), "type")
+    return created(scan or Scan(texts)).where("type is not null").select("path", "routine", "name", "line", "type")
 
 
-def last_types(texts: DataFrame, found: DataFrame) -> DataFrame:
+def last_types(texts: DataFrame, found: DataFrame, scan: Scan | None = None) -> DataFrame:
     """``path, routine, name, type``: the type by the last assignment; null where that creates no object."""
-    body = code_lines(texts).where(~F.col("code").rlike(HEADER))
-    name, made = F.regexp_extract("code", rf"(?iu)^\s*({NAME})\s*=(?!=)", 1), F.regexp_extract("code", rf"(?iu)=\s*Новый\s+({NAME})", 1)
-    hit = inside(body.select("path", "n", name.alias("name"), F.nullif(made, F.lit("")).alias("type")).where("name <> ''"), found).where("routine is not null")
-    return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("n", "name", "type")).alias("l")).select("path", "routine", "l.name", "l.type")
+    hit = created(scan or Scan(texts))
+    return hit.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("at", "name", "type")).alias("l")).select("path", "routine", "l.name", "l.type")

@@ -109,6 +109,43 @@ class Tables:
         packed = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "t"))).alias("a"))
         return packed.select(F.concat(F.lit("CommonModules/M"), F.col("o_custkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("text"))
 
+    @property
+    def scripts(self) -> DataFrame:
+        """Customers as common modules of irregular code ``(path, text)``: headers, calls and strings over several lines, calls
+        in arguments, several statements a line, directives, dates, comments with brackets, stray and missing ends."""
+        k, key, module = F.col("o_orderkey"), F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+        function, other = F.col("o_orderstatus") == "F", F.concat(F.lit("M"), F.col("f.cust").cast("string"))
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        number = lambda n: (k % n).cast("string")
+        back = F.when(k % 13 == 2, "").when(function, "Возврат Счет; ").otherwise("Возврат; ")
+        body = F.array(
+            F.when(k % 2 == 0, '#Если Сервер Тогда // "').otherwise('// x("'),
+            F.lit("&НаСервере"),
+            text(F.when(function, "Функция").otherwise("Процедура"), " Order", key, '(Первый, // первый "('),
+            text('    Знач Второй = "a(b,c)", Третий = -1)', F.when(F.col("o_orderstatus") != "P", " Экспорт").otherwise("")),
+            F.lit("    Перем Счет, Лишний;"),
+            text("    Счет = Внешний", number(11), "(Order", key, '(1, "x;(""y"")"),'),
+            text("        '2024(0101', Общий(Первый)); Order", key, "(1, 2, 3, 4);"),
+            F.lit('    Текст = "ВЫБРАТЬ * // нет ('),
+            text("    |ИЗ Документ.D", number(4), ' КАК ""Т"" ГДЕ Ф(1)'),
+            F.lit('    |"; Сообщить(Текст); // Сообщить(1)'),
+            text("    Если Счет > 1 И M", module, ".Order", key, "(Второй) Тогда ", back, "КонецЕсли;"),
+            F.when(k % 7 == 1, "    Возврат; Счет = 2;"),
+            F.when(k % 3 == 0, text("    Справочники.C", number(7), ".Найти(Третий[Счет + 1]).Метод(")),
+            F.when(k % 3 == 0, "    );"),
+            F.when(k % 9 == 4, text("    ", other, ".Order", F.col("f.k").cast("string"), "(1);")),
+            F.when(k % 9 == 5, text("    ", other, ".Нет(1);")),
+            F.when(k % 4 == 1, text("    Итог = Новый Массив; Итог.Добавить(1); CommonModule.", other, ".Order", F.col("f.k").cast("string"), "(2);")),
+            F.when(k % 17 != 0, F.when(function, "КонецФункции").otherwise("КонецПроцедуры")),
+            F.when((k % 17 != 0) & (k % 5 == 0), "КонецПроцедуры"),
+            F.when(k % 2 == 0, "#КонецЕсли"),
+        )
+        first = self["orders"].agg(F.min(F.struct(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("cust"))).alias("f"))
+        rows = self["orders"].select("o_custkey", "o_orderkey", "o_orderstatus").crossJoin(F.broadcast(first))  # one row
+        rows = rows.select("o_custkey", "o_orderkey", F.array_join(F.array_compact(body), "\n").alias("t"))
+        packed = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "t"))).alias("a"))
+        return packed.select(F.concat(F.lit("CommonModules/M"), F.col("o_custkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("text"))
+
     @property
     def rights(self) -> DataFrame:
         docs = self["documents"].select("doc_id", F.col("source").alias("role_id"), F.col("text").alias("condition"))
@@ -159,13 +196,30 @@ _LINES = "lines AS (SELECT path, unnest(range(1, len(a) + 1)) AS n, unnest(a) AS
 _CODE = """code AS (
   SELECT 'CommonModules/M' || o_custkey || '/Ext/Module.bsl' AS path, 'M' || o_custkey AS module, 'Order' || o_orderkey AS name, o_orderkey AS k, o_orderstatus = 'F' AS is_function, o_orderstatus <> 'P' AS is_export, o_orderpriority AS priority,
     CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) * 12 AS INTEGER) AS base FROM orders)"""
+_SCRIPT = """script AS (
+  SELECT *, base + 11 + CASE WHEN k % 7 = 1 THEN 1 ELSE 0 END AS at3, at9_ AS at9, first(k) OVER (ORDER BY k) AS fk, first(cust) OVER (ORDER BY k) AS fcust, first(is_function) OVER (ORDER BY k) AS ff, first(is_export) OVER (ORDER BY k) AS fe FROM (
+  SELECT *, base + 11 + CASE WHEN k % 7 = 1 THEN 1 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 2 ELSE 0 END AS at9_ FROM (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY cust ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS base, CAST(sum(size) OVER (PARTITION BY cust) AS INTEGER) AS total, lead(k) OVER (PARTITION BY cust ORDER BY k) AS after FROM (
+  SELECT 'CommonModules/M' || o_custkey || '/Ext/Module.bsl' AS path, 'M' || o_custkey AS module, o_custkey AS cust, 'Order' || o_orderkey AS name, o_orderkey AS k, o_orderstatus = 'F' AS is_function, o_orderstatus <> 'P' AS is_export,
+    11 + CASE WHEN o_orderkey % 7 = 1 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN o_orderkey % 9 IN (4, 5) THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 4 = 1 THEN 1 ELSE 0 END
+    + CASE WHEN o_orderkey % 17 <> 0 THEN 1 + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END ELSE 0 END + CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS size FROM orders)))),
+said AS (SELECT path, name AS routine, base + 6 AS line, CAST(NULL AS VARCHAR) AS qualifier, 'Внешний' || (k % 11) AS method, 3 AS args, true AS used, false AS nested, k FROM script
+  UNION ALL SELECT path, name, base + 6, NULL, name, 2, true, true, k FROM script UNION ALL SELECT path, name, base + 7, NULL, 'Общий', 1, true, true, k FROM script
+  UNION ALL SELECT path, name, base + 7, NULL, name, 4, false, false, k FROM script UNION ALL SELECT path, name, base + 10, NULL, 'Сообщить', 1, false, false, k FROM script
+  UNION ALL SELECT path, name, base + 11, module, name, 1, true, false, k FROM script
+  UNION ALL SELECT path, name, at3 + 1, 'Справочники.C' || (k % 7), 'Найти', 1, false, false, k FROM script WHERE k % 3 = 0
+  UNION ALL SELECT path, name, at3 + 1, NULL, 'Метод', 0, NULL, false, k FROM script WHERE k % 3 = 0
+  UNION ALL SELECT path, name, at9 + 1, 'M' || fcust, 'Order' || fk, 1, false, false, k FROM script WHERE k % 9 = 4
+  UNION ALL SELECT path, name, at9 + 1, 'M' || fcust, 'Нет', 1, false, false, k FROM script WHERE k % 9 = 5
+  UNION ALL SELECT path, name, at9 + CASE WHEN k % 9 IN (4, 5) THEN 2 ELSE 1 END, 'Итог', 'Добавить', 1, false, false, k FROM script WHERE k % 4 = 1
+  UNION ALL SELECT path, name, at9 + CASE WHEN k % 9 IN (4, 5) THEN 2 ELSE 1 END, 'CommonModule.M' || fcust, 'Order' || fk, 1, false, false, k FROM script WHERE k % 4 = 1)"""
 _RIGHTS = """rights AS (
   SELECT source AS role_id, 'doc:' || l.doc_id AS object_id, quality = 1 AS may_read, toxic = 1 AS may_insert, quality = 0 AS has_rls, text AS condition
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 _FEATURES = """features AS (
   SELECT id, CASE WHEN length(value) >= 14 THEN 'name' ELSE 'call' END AS category, value
   FROM (SELECT DISTINCT doc_id AS id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS value FROM documents) WHERE length(value) >= 9)"""
-_PARTS = {"nodes": (_NODES,), "edges": (_EDGES,), "refs": (_EDGES, _REFS), "symbols": (_SYMBOLS,), "objects": (_OBJECTS,), "texts": (_TEXTS,), "lines": (_TEXTS, _LINES), "rights": (_RIGHTS,), "code": (_CODE,), "features": (_FEATURES,)}
+_PARTS = {"nodes": (_NODES,), "edges": (_EDGES,), "refs": (_EDGES, _REFS), "symbols": (_SYMBOLS,), "objects": (_OBJECTS,), "texts": (_TEXTS,), "lines": (_TEXTS, _LINES), "rights": (_RIGHTS,), "code": (_CODE,), "script": (_SCRIPT,), "features": (_FEATURES,)}
 
 
 def sql(body: str, *frames: str, more: str = "", recursive: bool = False) -> str:
