@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import COLLECTIONS, QUERY_TABLES, mapped
 from ..operators.grep import lines as numbered
-from .tokens import NAME, RETURN, Scan, is_target, plain_tokens
+from .tokens import NAME, NEW, RETURN, Scan, is_target, plain_tokens, with_before
 
 
 def code_lines(texts: DataFrame) -> DataFrame:
@@ -163,7 +163,12 @@ def created(scan: Scan) -> DataFrame:
     """``path, routine, name, line, at, type`` of every assignment to a name; ``type`` where it creates an object by
     ``Новый T`` or ``Новый("T")`` and nothing else stands in it."""
     t = scan.tokens
-    made = t.where("made is not null").groupBy("path", "block", F.col("made.name").alias("name")).agg(F.min("made.type").alias("type"))
+    seen = with_before(t.select("path", "block", "at", "n", "text", "kind", "p1"), 4)
+    new = lambda c: F.lower(F.col(c)["text"]).isin(NEW)
+    plain = (F.col("kind") == "c") & new("p1") & (F.col("p2.text") == "=")
+    quoted = (F.col("kind") == "l") & (F.col("p1.text") == "(") & new("p2") & (F.col("p3.text") == "=")
+    made = F.when(plain, F.struct(F.col("p3.text").alias("name"), F.col("text").alias("type"))).when(quoted, F.struct(F.col("p4.text").alias("name"), F.regexp_replace("text", '"', "").alias("type")))
+    made = seen.select("path", "block", made.alias("made")).where("made is not null").groupBy("path", "block", "made.name").agg(F.min("made.type").alias("type"))
     targets = t.where((F.col("kind") == "c") & (F.col("f1.text") == "=") & F.col("routine").isNotNull() & is_target()).select("path", "routine", F.col("text").alias("name"), F.col("n").alias("line"), "at", "block")
     return targets.join(made, ["path", "block", "name"], "left").select("path", "routine", "name", "line", "at", "type")
 

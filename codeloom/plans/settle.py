@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` read back from files of ``spark.checkpoint.dir``: later steps neither plan nor compute it again.
+    """``df`` read back from Parquet files below ``spark.checkpoint.dir``: later steps neither plan nor compute it again, read
+    only the columns they name, and survive the loss of executors.
 
     A temporary folder is set only where the session names none and runs in one process on this machine, as in tests.
     """
@@ -18,6 +20,6 @@ def settle(df: DataFrame) -> DataFrame:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codeloom-"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint()
+    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -43,13 +43,16 @@ BACK = 7
 def stated_lines(texts: DataFrame) -> DataFrame:
     """``path, n, total, line, goes_on``: numbered lines, how many the text has, and whether the line continues a string.
 
-    A string goes on where it is open at the end of a line and the next line starts with ``|``.
+    A string goes on where it is open at the end of a line and the next line starts with ``|``. Modules are dealt to as many
+    partitions as the session shuffles to: texts are small next to the tokens made of them, so sizes after this exchange
+    say too little for adaptive merging. All windows over a module follow without another exchange.
     """
-    split = texts.select("path", F.split("text", r"\r\n|\r|\n", -1).alias("all"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = texts.select("path", "text").repartition(parts, "path").select("path", F.split("text", r"\r\n|\r|\n", -1).alias("all"))
     lines = split.select("path", F.size("all").alias("total"), F.posexplode("all").alias("i", "line"))
     bar = F.col("line").rlike(r"^[ \t]*\|")
     left = lambda c: F.contains(F.regexp_replace(c, COMPLETE, ""), F.lit('"'))
-    closed = left(F.col("line"))
+    closed = F.contains("line", F.lit('"')) & left(F.col("line"))
     opened = F.when(bar, left(F.concat(F.lit('"'), "line"))).otherwise(closed)
     w = Window.partitionBy("path").orderBy("n")
     told = lines.select("path", (F.col("i") + 1).alias("n"), "total", "line", bar.alias("bar"), closed.alias("closed"), opened.alias("opened"))
@@ -68,9 +71,10 @@ def plain_tokens(texts: DataFrame) -> DataFrame:
     source = F.when(F.col("goes_on"), F.concat(F.lit('"'), "line")).otherwise(F.col("line"))
     rows = stated_lines(texts).select("path", "n", "total", F.posexplode(F.regexp_extract_all(source, F.lit(TOKEN), F.lit(0))).alias("i", "text"))
     first, low = F.substring("text", 1, 1), F.lower("text")
+    word = (F.lower(first) != F.upper(first)) | (first == "_") | first.rlike(r"\p{L}")
     kind = (
-        F.when(first.rlike(r"[\p{L}_]"), F.when(low.isin(KEYWORDS), "k").otherwise("c")).when(first == "#", "d").when(first == "&", "a")
-        .when(first.rlike(r"""["'0-9]"""), "l").when(first.rlike(r"[-+*/%=<>()\[\],.;?:~]"), "o").otherwise("x")
+        F.when(first.isin(*"-+*/%=<>()[],.;?:~"), "o").when(first.isin(*"\"'0123456789"), "l").when(first == "#", "d").when(first == "&", "a")
+        .when(word, F.when(low.isin(KEYWORDS), "k").otherwise("c")).otherwise("x")
     )
     kept = rows.where(~F.col("text").startswith("//"))
     return kept.select("path", "n", (F.col("n").cast("long") * LINE + F.col("i")).alias("at"), "total", "text", kind.alias("kind"))
@@ -90,7 +94,7 @@ def _before_bracket() -> Column:
     begins = F.when(goes[0] & goes[1], F.col("p5")).when(goes[0], F.col("p3")).otherwise(F.col("p1"))
     before = F.when(goes[0] & goes[1], F.col("p6")).when(goes[0], F.col("p4")).otherwise(F.col("p2"))
     info = F.struct(
-        F.col("at"), F.when(F.col("event.inside"), F.col("event.name")).alias("routine"), F.regexp_replace(callee, r"\s+", "").alias("callee"), begins.alias("begins"), before.alias("before"),
+        "at", "routine", F.regexp_replace(callee, r"\s+", "").alias("callee"), begins.alias("begins"), before.alias("before"),
         ((F.col("text") == "(") & (F.col("p1.kind") == "c") & (F.col("p1.n") == F.col("n"))).alias("chained"), F.coalesce(_is("p2", HEADS), F.lit(False)).alias("header"),
     )
     return F.when(F.col("opens"), info)
@@ -98,58 +102,63 @@ def _before_bracket() -> Column:
 
 def marked_tokens(texts: DataFrame) -> DataFrame:
     """Tokens with what a running sum or a last value tells: ``block`` (statements and headers begin a new one), ``level`` of
-    brackets within it, ``routine`` and ``head_at`` (name and place of the header, null outside), whether the token is part of
-    the ``heading``, stands right behind a return (``late``), under a condition (``conditional``) or after ``Перем``
-    (``variable``), and the tokens before (``p1`` ...) and after (``f1``, ``f2``)."""
+    brackets within it, ``routine`` and ``head_at`` (name and place of the header, null outside), whether the token stands right
+    behind a return (``late``), in the statement of the header (``heading``), under a condition (``conditional``) or after ``Перем`` (``variable``), and the tokens around
+    it. Two passes over one sort."""
     w = Window.partitionBy("path").orderBy("at")
     one = F.struct("n", "text", "kind")
-    near = [F.lag(one, k).over(w).alias(f"p{k}") for k in range(1, BACK)] + [F.lead(one, k).over(w).alias(f"f{k}") for k in (1, 2)]
-    opens, closes = F.col("text").isin("(", "[") & (F.col("kind") == "o"), F.col("text").isin(")", "]") & (F.col("kind") == "o")
+    operator = F.col("kind") == "o"
+    opens, closes = operator & F.col("text").isin("(", "["), operator & F.col("text").isin(")", "]")
     directive = F.lower(F.regexp_extract("text", rf"^#({NAME})", 1))
-    fork = F.when(F.col("kind") == "d", F.when(directive.isin("если", "if"), 1).when(directive.isin("конецесли", "endif"), -1)).otherwise(0)
+    fork = F.when(F.col("kind") == "d", F.when(directive.isin("если", "if"), 1).when(directive.isin("конецесли", "endif"), -1).otherwise(0)).otherwise(0)
     resets = (F.col("text") == ";") | _is("", HEADS + ENDS)
-    t = plain_tokens(texts).select("*", *near, opens.alias("opens"), closes.alias("closes"), F.sum(opens.cast("int") - closes.cast("int")).over(w).alias("depth"), F.sum(F.coalesce(fork, F.lit(0))).over(w).alias("forks"), F.sum(resets.cast("int")).over(w).alias("block"))
-    head = _is("", HEADS) & (F.col("f1.kind") == "c")
-    event = F.when(head, F.struct(F.lit(True).alias("inside"), F.col("f1.text").alias("name"), F.col("at"))).when(_is("", HEADS + ENDS), F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("name"), F.col("at")))
-    t = t.withColumn("head", F.coalesce(head, F.lit(False)))
-    t = t.withColumn("base", F.last(F.when(resets, F.col("depth")), ignorenulls=True).over(w)).withColumn("event", F.last(event, ignorenulls=True).over(w))
-    t = t.withColumn("conditional", F.col("forks") - F.least(F.min("forks").over(w), F.lit(0)))
-    level = F.col("depth") - F.coalesce("base", F.lit(0)) + F.col("closes").cast("int")
-    variable = F.last(F.when(_is("", VARIABLE), F.col("block")), ignorenulls=True).over(w) == F.col("block")
-    t = t.withColumn("level", level.cast("int"))
-    ended = F.sum((F.col("closes") & (F.col("level") == 1)).cast("int")).over(w)
-    t = t.withColumn("ended", ended)
-    begun = F.last(F.when(F.col("head"), F.struct(F.col("ended"), (F.col("f2.text") == "(").alias("bracket"))), ignorenulls=True).over(w)
-    t = t.withColumn("begun", begun)
-    heading = F.col("event.inside") & ((F.col("begun.bracket") & (F.col("ended") == F.col("begun.ended"))) | _is("p1", HEADS))
-    returned = F.last(F.when(_is("", RETURN), F.col("block")), ignorenulls=True).over(w)
-    late = (F.col("p1.text") == ";") & (returned == F.col("block") - 1) & F.col("event.inside") & ~resets & ~_is("", BLOCK_END) & (F.col("kind") != "d")
+    t = plain_tokens(texts).select(
+        "*", opens.alias("opens"), closes.alias("closes"), resets.alias("resets"), F.lead(one).over(w).alias("f1"),
+        F.sum(opens.cast("int") - closes.cast("int")).over(w).alias("depth"), F.sum(fork).over(w).alias("forks"), F.sum(resets.cast("int")).over(w).alias("block"),
+    )
+    head = F.coalesce(_is("", HEADS) & (F.col("f1.kind") == "c"), F.lit(False))
+    event = F.when(head, F.struct(F.lit(True).alias("inside"), F.col("f1.text").alias("name"), F.col("at"), F.col("block"))).when(_is("", HEADS + ENDS), F.struct(F.lit(False).alias("inside"), F.lit(None).cast("string").alias("name"), F.col("at"), F.col("block")))
+    last = lambda c: F.last(c, ignorenulls=True).over(w)
+    # The second pass has the wide columns, so they are moved once only.
+    t = t.select(
+        "path", "n", "at", "total", "text", "kind", "opens", "closes", "resets", "f1", "depth", "forks", "block", head.alias("head"),
+        F.lag(one).over(w).alias("p1"), F.lead(F.struct("text", "kind"), 2).over(w).alias("f2"),
+        last(F.when(F.col("resets"), F.col("depth"))).alias("base"), last(event).alias("event"), F.min("forks").over(w).alias("floor"),
+        last(F.when(_is("", VARIABLE), F.col("block"))).alias("declaring"), last(F.when(_is("", RETURN), F.col("block"))).alias("returned"),
+    )
+    level = (F.col("depth") - F.coalesce("base", F.lit(0)) + F.col("closes").cast("int")).cast("int")
+    conditional = F.col("forks") - F.least("floor", F.lit(0)) > 0
+    variable = F.coalesce(F.col("declaring") == F.col("block"), F.lit(False))
+    late = (F.col("p1.text") == ";") & (F.col("returned") == F.col("block") - 1) & F.col("event.inside") & ~F.col("resets") & ~_is("", BLOCK_END) & (F.col("kind") != "d")
     routine = F.when(F.col("event.inside"), F.col("event.name"))
-    plain = (F.col("kind") == "c") & _is("p1", NEW) & (F.col("p2.text") == "=")
-    quoted = (F.col("kind") == "l") & (F.col("p1.text") == "(") & _is("p2", NEW) & (F.col("p3.text") == "=")
-    made = F.when(plain, F.struct(F.col("p3.text").alias("name"), F.col("text").alias("type"))).when(quoted, F.struct(F.col("p4.text").alias("name"), F.regexp_replace("text", '"', "").alias("type")))
-    return t.select("path", "n", "at", "total", "text", "kind", "p1", "f1", F.col("f2.text").alias("second"), _is("f2", EXPORT).alias("exported"), _before_bracket().alias("info"), made.alias("made"), "opens", "closes", "block", "level", routine.alias("routine"), F.when(F.col("event.inside"), F.col("event.at")).alias("head_at"), "head", F.coalesce(heading, F.lit(False)).alias("heading"), F.coalesce(late, F.lit(False)).alias("late"), (F.col("conditional") > 0).alias("conditional"), F.coalesce(variable, F.lit(False)).alias("variable"))
+    return t.select("path", "n", "at", "total", "text", "kind", "p1", "f1", F.col("f2.text").alias("second"), _is("f2", EXPORT).alias("exported"), "opens", "closes", "block", level.alias("level"), routine.alias("routine"), F.when(F.col("event.inside"), F.col("event.at")).alias("head_at"), "head", (F.col("event.inside") & (F.col("event.block") == F.col("block"))).alias("heading"), F.coalesce(late, F.lit(False)).alias("late"), conditional.alias("conditional"), variable.alias("variable"))
+
+
+def with_before(tokens: DataFrame, far: int) -> DataFrame:
+    """Tokens with those before them, ``p1`` to ``p<far>``."""
+    w = Window.partitionBy("path").orderBy("at")
+    return tokens.withColumns({f"p{k}": F.lag(F.struct("n", "text", "kind"), k).over(w) for k in range(2, far + 1)})
 
 
 def bracket_groups(tokens: DataFrame) -> DataFrame:
     """A row for each opening bracket: what stands before it, how many values stand in it, what follows its end.
 
-    Tokens of one group share the last opening bracket of their level; a bracket inside one is a value of the outer group
-    too, so it is dealt to both levels.
+    Running counts of commas and values over a level of brackets in a statement differ between an opening and its end by
+    what stands between; a bracket inside one is a value of the outer group too, so it is dealt to both levels.
     """
     levels = F.when(F.col("opens") & (F.col("level") > 1), F.array(F.struct(F.col("level").alias("level"), F.lit(True).alias("own")), F.struct((F.col("level") - 1).alias("level"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(F.col("level").alias("level"), F.lit(True).alias("own"))))
-    rows = tokens.where("level > 0").select("path", "block", "at", "n", "text", "kind", "f1", "opens", "closes", "info", F.explode(levels).alias("l"))
+    seen = with_before(tokens.select("path", "block", "level", "at", "n", "text", "kind", "routine", "p1", "f1", "opens", "closes"), BACK - 1)
+    rows = seen.where("level > 0").select("path", "block", "at", "n", "text", "kind", "f1", "opens", "closes", _before_bracket().alias("info"), F.explode(levels).alias("l"))
     starts = F.col("opens") & F.col("l.own")
     w = Window.partitionBy("path", "block", "l.level").orderBy("at")
-    rows = rows.withColumn("group", F.last(F.when(starts, F.struct(F.col("at"), F.coalesce(F.col("info.header"), F.lit(False)).alias("header"))), ignorenulls=True).over(w)).where("group is not null")
     comma = (F.col("text") == ",") & (F.col("kind") == "o")
     value = ~comma & ~starts & ~F.col("closes")
-    listed = F.when(F.col("group.header") & ~starts & ~F.col("closes"), F.struct("at", "text", "kind"))
-    grouped = rows.groupBy("path", F.col("group.at").alias("at")).agg(
-        F.max(F.when(starts, F.col("info"))).alias("o"), F.sum(comma.cast("int")).alias("commas"), F.max(value.cast("int")).alias("filled"),
-        F.min(F.when(F.col("closes"), F.struct(F.col("at"), F.col("n"), F.col("f1").alias("next")))).alias("c"), F.array_sort(F.collect_list(listed)).alias("listed"),
-    )
-    return grouped.select("path", "o.*", "c", F.when(F.col("c").isNotNull(), F.col("commas") + F.col("filled")).otherwise(-1).cast("int").alias("args"), "listed")
+    rows = rows.withColumns({"starts": starts, "commas": F.sum(comma.cast("int")).over(w), "values": F.sum(value.cast("int")).over(w)}).where("starts or closes")
+    # Of the brackets of a level in a statement, the next one after an opening must close it.
+    rows = rows.withColumn("c", F.lead(F.struct("closes", "at", "n", F.col("f1").alias("next"), "commas", "values")).over(w)).where("starts")
+    closed = F.coalesce(F.col("c.closes"), F.lit(False))
+    args = F.when(closed, F.col("c.commas") - F.col("commas") + (F.col("c.values") > F.col("values")).cast("int")).otherwise(-1)
+    return rows.select("path", "info.*", F.when(closed, F.col("c")).alias("c"), args.cast("int").alias("args"))
 
 
 def used(before: str, begins: str, after: str) -> Column:
@@ -176,21 +185,23 @@ def call_rows(groups: DataFrame) -> DataFrame:
     return calls.select("path", "routine", F.col("begins.n").alias("line"), "callee", qualifier.alias("qualifier"), method.alias("method"), "args", used("before", "begins", "c.next").alias("used"), "nested", "at")
 
 
-def routine_rows(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+def routine_rows(tokens: DataFrame) -> DataFrame:
     """``path, kind, name, is_export, start_line, end_line, parameters, total, required, body_line, body_at`` of every routine.
 
     A routine ends at the next end, at the keyword of the next header, or with the module. Names that repeat under a
     condition are one routine with the first, as long as the longest.
     """
     w = Window.partitionBy("path").orderBy("at")
-    events = tokens.where(_is("", HEADS + ENDS)).select("path", "at", "n", "total", F.lower("text").alias("low"), "head", "conditional", "f1", "second", "exported", F.lead("n").over(w).alias("next"))
-    heads = events.where("head")
-    opened = groups.where("header").select("path", "at", "c", "listed")
-    # The group of a header is the next one after its keyword.
-    both = heads.select("path", "at", F.struct("total", "low", "conditional", "f1", "second", "exported", "next").alias("h"), F.lit(None).cast(opened.schema["c"].dataType).alias("c"), F.lit(None).cast(opened.schema["listed"].dataType).alias("listed"))
-    both = both.unionByName(opened.select("path", "at", F.lit(None).cast(both.schema["h"].dataType).alias("h"), "c", "listed"))
-    after = F.lead(F.struct(F.col("h").isNull().alias("group"), "c", "listed")).over(w)
-    met = both.withColumn("g", after).where("h is not null").select("path", "at", "h.*", F.when(F.col("g.group") & (F.col("h.second") == "("), F.col("g")).alias("g"))
+    events = tokens.where(_is("", HEADS + ENDS)).select("path", "at", "total", F.lower("text").alias("low"), "head", "conditional", "f1", "second", "exported", F.lead("n").over(w).alias("next"))
+    own = Window.partitionBy("path", "head_at").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum((F.col("closes") & (F.col("level") == 1)).cast("int")).over(own), F.lit(0)) == 0
+    opened = tokens.where("heading and level > 0").withColumn("first", first).where("first and level = 1")
+    opened = opened.groupBy("path", F.col("head_at").alias("at")).agg(
+        F.max(F.when(F.col("closes"), F.struct(F.col("at"), F.col("n"), F.col("f1").alias("next")))).alias("c"),
+        F.array_sort(F.collect_list(F.when(~F.col("opens") & ~F.col("closes"), F.struct("at", "text", "kind")))).alias("listed"),
+    )
+    met = events.where("head").join(opened.select("path", "at", F.struct("c", "listed").alias("g")), ["path", "at"], "left")
+    met = met.withColumn("g", F.when(F.col("second") == "(", F.col("g")))
     # A header whose bracket never closes is none.
     met = met.where(F.col("g.c").isNotNull() | (F.col("second") != "(") | F.col("second").isNull())
     items = F.col("g.listed")
@@ -231,7 +242,7 @@ class Scan:
 
     @cached_property
     def routines(self) -> DataFrame:
-        return settle(routine_rows(self.tokens, self.groups))
+        return settle(routine_rows(self.tokens))
 
     def calls(self) -> DataFrame:
         return call_rows(self.groups)
@@ -244,9 +255,10 @@ class Scan:
 
     def read(self) -> DataFrame:
         """``path, routine, head_at, name`` of names that are read in bodies: not members after a dot, not targets."""
-        t = self.tokens.where((F.col("kind") == "c") & ~F.col("heading") & ~is_target() & F.col("routine").isNotNull())
+        t = self.tokens.where((F.col("kind") == "c") & ~is_target() & F.col("head_at").isNotNull())
+        body = t.join(self.routines.select("path", "head_at", "body_at"), ["path", "head_at"]).where("at > body_at")
         names = F.regexp_extract_all("text", F.lit(rf"(?<![\p{{L}}\p{{N}}_.])({NAME})"), F.lit(1))
-        return t.select("path", "routine", "head_at", F.explode(names).alias("name"))
+        return body.select("path", "routine", "head_at", F.explode(names).alias("name"))
 
     def names(self) -> DataFrame:
         """``path, routine, head_at, n, name`` of every name in code, headers, members of chains and names in indexes too."""
@@ -258,4 +270,4 @@ def is_target() -> Column:
     begins = F.col("p1").isNull() | (F.col("p1.text").isin(";", ")") & (F.col("p1.kind") == "o")) | _is("p1", BEGINS) | (F.col("p1.kind").isin("d", "a", "l", "c") & (F.col("p1.n") < F.col("n")))
     target = begins & (F.col("f1.text") == "=") & (F.col("level") == 0)
     loop = _is("p1", ["для", "каждого", "for", "each"])
-    return F.coalesce(~F.col("text").rlike(r"[.\[]") & (target | F.coalesce(loop, F.lit(False)) | F.col("variable")) & ~F.col("heading"), F.lit(False))
+    return F.coalesce(~F.col("text").rlike(r"[.\[]") & (target | F.coalesce(loop, F.lit(False)) | F.col("variable")), F.lit(False))
