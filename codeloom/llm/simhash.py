@@ -172,13 +172,54 @@ def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.select("node", "n", "h").mapInArrow(run, "k long, node long, n int")
 
 
+def parity_bits(sets: DataFrame) -> DataFrame:
+    """``(node, n, bits binary)`` of ``sets(node, n, h)``: for each of 2 to 4 places an element, whether an odd number of
+    elements falls there. A quarter of a byte or two an element, where the set itself has eight."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for n, h in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                places = 1 << max(6, (2 * n - 1).bit_length())
+                at = h.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(places)
+                made.append(np.packbits(np.bincount(at.astype(np.int64), minlength=places) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["node", "n", "bits"])
+
+    return sets.select("node", "n", "h").mapInArrow(run, "node long, n int, bits binary")
+
+
+def within_reach(pairs: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)`` of ``pairs(a, m, g, b, n, bits)`` that may reach the similarity.
+
+    Each element that only one set has turns one place, so the sets differ in at least as many elements as the bits in
+    places; that bounds what they share from above. No pair that reaches the similarity is lost.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for m, g, n, bits in zip(*[batch.column(i).to_pylist() for i in (1, 2, 4, 5)], strict=True):
+                x, y = np.frombuffer(g, np.uint8), np.frombuffer(bits, np.uint8)
+                while len(x) != len(y):
+                    if len(x) < len(y):
+                        x, y = y, x
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                apart = int(np.bitwise_count(x ^ y).sum())
+                keep.append((n + m - apart) / 2 >= threshold / (1 + threshold) * (n + m) - 1e-9)
+            some = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(some), batch.column(3).filter(some)], ["a", "b"])
+
+    return pairs.select("a", "m", "g", "b", "n", "bits").mapInArrow(run, "a long, b long")
+
+
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """``(node long, component long)`` of the rows of ``shingle_sets`` over all pairs of distinct sets whose Jaccard similarity reaches ``threshold``.
 
     Such sets share one of their rarest shingles (prefix filter), so no pair is missed. First each set meets the
     smallest node of each shingle; then, where a shingle still joins several components, the sets outside the largest
-    one meet the others of it. Copies and large groups of near copies so never expand into all pairs. Every pair is
-    verified on the whole sets.
+    one meet the others of it. Copies and large groups of near copies so never expand into all pairs. Parity bits rule
+    out most pairs that are not similar before a whole set is moved; those left are verified on the whole sets. Unrelated
+    sets of similar size that share one of their rarest shingles do meet in pairs of bits.
     """
     keys = cut(prefix_rows(sets, threshold), "keys")
     lowest = F.min(F.struct("node", "n"))
@@ -191,14 +232,24 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = cut(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        # One row of each set that is a candidate; only these are shuffled.
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        some = cut(sieve(named, "node", wanted).join(wanted, "node").select("row_id"), "wanted")
-        whole = sieve(sets, "row_id", some).join(some, "row_id", "left_semi").dropDuplicates(["row_id", "node"]).select("node", "n", "h")
+        bits = cut(parity_bits(held(pairs)).dropDuplicates(["node"]), "bits")
+        near = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("g")), "a").join(bits.withColumnRenamed("node", "b"), "b")
+        near = cut(within_reach(near, threshold), "near")
+        drop_cut(pairs)
+        drop_cut(bits)
+        whole = held(near).dropDuplicates(["node"])
         left = whole.select(F.col("node").alias("a"), F.col("h").alias("g"), F.col("n").alias("m"))
-        both = pairs.join(left, "a").join(whole.withColumnRenamed("node", "b"), "b")
+        both = near.join(left, "a").join(whole.withColumnRenamed("node", "b"), "b")
         same = F.size(F.array_intersect("g", "h"))
-        return cut(both.where(same >= threshold * (F.col("n") + F.col("m") - same) - 1e-9).select("a", "b"), name)
+        out = cut(both.where(same >= threshold * (F.col("n") + F.col("m") - same) - 1e-9).select("a", "b"), name)
+        drop_cut(near)
+        return out
+
+    def held(pairs: DataFrame) -> DataFrame:
+        """One row of each set that a pair names, or a few equal ones; only these are moved."""
+        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        some = cut(sieve(named, "node", wanted).join(wanted, "node").select("row_id"), "wanted")
+        return sieve(sets, "row_id", some).join(some, "row_id", "left_semi").select("node", "n", "h")
 
     star = met.where("node <> c.node").select(F.col("node").alias("a"), "n", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
     found = links(star, "star")
