@@ -272,15 +272,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     Repeated rows stay; an empty table gives no rows. No shuffle; texts are read whole.
     """
     keep = ["doc_id"] if keep is None else keep
-    source = docs.select(*keep, F.col(text).alias("_text"))
+    # The text is moved once where it is kept too.
+    at = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*keep, *([] if text in keep else [F.col(text).alias("_text")]))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: BUCKETS rows, one column per label
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b in slices(batch.column(len(keep)), 1 << 20):
+            for a, b in slices(batch.column(at), 1 << 19):
                 part = batch.slice(a, b - a)
-                words = CodeWords(part.column(len(keep)).to_pylist(), "alpha")
+                words = CodeWords(part.column(at).to_pylist(), "alpha")
                 langs, best = [UNKNOWN] * len(part), np.zeros(len(part))
                 full = np.flatnonzero(words.counts)
                 if m.labels and len(full):
