@@ -6,6 +6,8 @@ patterns read back from the text is checked against what was put in.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from .functions import helptext, names, text
 from .operators import changes, check, conventions, entrypoints, graph, grep, rights, search, similar
 from .plans import build, code, tokens
 from .plans.driver import Tables, sql
-from .plans.settle import settle  # noqa: F401
+from .plans.settle import shared_folder
 from .plans.tokens import Scan
 from .registry import query
+from .sources import inverted
 
 #: Number of the order in a module path or routine name, for SQL.
 _HELP = "VALUES ('Нет1'), ('Нет4'), ('Массив.Добавить')"
@@ -225,6 +228,62 @@ def _(t: Tables) -> DataFrame:
     return similar.profiles(t.features, 3).select("id", "category", "n", F.array_join("examples", ",").alias("examples"))
 
 
+# The stored inverted index
+
+
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _stored(t: Tables, kind: str) -> inverted.Inverted:
+    """The index of the texts of a folder: built by the first query that asks for it in a session, read by all."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
+    if key not in _INDEXES:
+        root = f"{shared_folder(t.spark)}/inverted-{kind}-{uuid.uuid4().hex}"
+        inverted.write_inverted(t.texts, root, (kind,))
+        _INDEXES[key] = root
+    return inverted.Inverted(t.spark, _INDEXES[key])
+
+
+@query("t11_stored_candidates", sql("SELECT path FROM texts WHERE contains(lower(text), 'wor') AND contains(lower(text), 'ort') AND contains(lower(text), 'rth') AND contains(lower(text), 'thl') AND contains(lower(text), 'hle') AND contains(lower(text), 'les') AND contains(lower(text), 'ess')", "texts"))
+def _(t: Tables) -> DataFrame:
+    index = _stored(t, "gram")
+    return index.texts().join(index.holding("Worthless"), "doc_no", "left_semi").select("path")
+
+
+@query("t10_stored_grep", sql("SELECT path, n, line FROM (SELECT path, n, line, row_number() OVER (PARTITION BY path ORDER BY n) AS r FROM lines WHERE contains(lower(line), 'worthless')) WHERE r <= 10", "lines"))
+def _(t: Tables) -> DataFrame:
+    return _stored(t, "gram").grep("worthLESS").select("path", F.col("n").cast("long").alias("n"), "line")
+
+
+@query("j06_stored_text", sql("SELECT path, length(text) AS signs, sha256(text) AS digest FROM texts WHERE path = (SELECT min(path) FROM texts)", "texts"))
+def _(t: Tables) -> DataFrame:
+    index = _stored(t, "term")
+    return index.text_of(t.texts.agg(F.min("path")).first()[0]).select("path", F.length("text").cast("long").alias("signs"), F.sha2("text", 256).alias("digest"))
+
+
+@query("t07_prefix_search", sql("""SELECT path, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM h JOIN (SELECT word, count(*) AS df FROM h GROUP BY 1) USING (word), (SELECT count(*) AS n, avg(dl) AS avgdl FROM w) 
+    WHERE path IN (SELECT path FROM h GROUP BY 1 HAVING count(*) = 3) GROUP BY 1""", "texts", more="""w AS (SELECT path, words, coalesce(len(words), 0) AS dl FROM (SELECT path, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS words FROM texts)),
+    h AS (SELECT path, dl, i AS word, len(list_filter(words, lambda x: starts_with(x, p))) AS tf FROM w, (VALUES (0, 'tok'), (1, 'th'), (2, 'an')) q(i, p) WHERE len(list_filter(words, lambda x: starts_with(x, p))) > 0)"""))
+def _(t: Tables) -> DataFrame:
+    return _stored(t, "term").search("Tok* (th) an.AN").select("path", F.round("score", 6).alias("score"))
+
+
+_SMART = r"""held AS (SELECT node_id, name, list_filter(string_split(trim(regexp_replace(lower(regexp_replace(name || ' ' || coalesce(comment_head, ''), '([^\p{Lu}])(\p{Lu})', '\1 \2', 'g')), '[_.(),\s]+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM symbols),
+    h AS (SELECT node_id, name, len(t) AS dl, i AS word, len(list_filter(t, lambda x: starts_with(x, p))) AS tf FROM held, (VALUES (0, 'urg'), (1, 'ord')) q(i, p) WHERE len(list_filter(t, lambda x: starts_with(x, p))) > 0),
+    s AS (SELECT node_id, name, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS score FROM h JOIN (SELECT word, count(*) AS df FROM h GROUP BY 1) USING (word), (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM held)
+      WHERE node_id IN (SELECT node_id FROM h GROUP BY 1 HAVING count(*) = 2) GROUP BY ALL)"""
+
+
+@query("t06_first_stage_terms", sql("SELECT node_id, name, 2 AS stage FROM s ORDER BY round(score, 9) DESC, length(name), name, node_id LIMIT 20", "symbols", more=_SMART))
+def _(t: Tables) -> DataFrame:
+    return search.first_stage_search(t.symbols, "URG ord")
+
+
+@query("t06_first_stage_prefix", sql("SELECT node_id, name, 1 AS stage FROM symbols WHERE starts_with(lower(name), 'order12') AND lower(name) <> 'order12' ORDER BY length(name), name, node_id LIMIT 20", "symbols"))
+def _(t: Tables) -> DataFrame:
+    return search.first_stage_search(t.symbols.where("lower(name) <> 'order12'"), "Order12")
+
+
 # Names and paths
 
 

@@ -106,6 +106,41 @@ def smart_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return symbols.withColumn("stage", stage).where("stage is not null").orderBy("stage", F.length("name"), "name", "node_id").limit(limit).select("node_id", "name", "stage")
 
 
+def first_stage_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """``node_id, name, stage``: symbols of the first stage that has any: the exact name, its prefix, all words of the query
+    as prefixes of the terms of name, comment head and parameters (by BM25, then length), any place in the name.
+
+    The stages are asked for in turn, so a later and dearer one is not planned where an earlier one answers.
+    """
+    from ..sources.inverted import prefix_scores, query_words
+
+    q = query.strip().lower()
+    n = F.lower("name")
+
+    def stage(df: DataFrame, number: int) -> DataFrame:
+        return df.orderBy(F.length("name"), "name", "node_id").limit(limit).select("node_id", "name", F.lit(number).alias("stage"))
+
+    for number, hit in enumerate((n == q, n.startswith(q))):
+        found = stage(symbols.where(hit), number)
+        if not found.isEmpty():
+            return found
+    words = query_words(query)
+    if words:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "comment_head", "parameters") if c in symbols.columns]
+        held = symbols.select("node_id", "name", identifier_tokens(F.concat_ws(" ", *parts)).alias("t"))
+        hits = None
+        for i, w in enumerate(words):
+            starting = F.filter("t", lambda x: x.startswith(w))  # noqa: B023
+            one = held.select(F.col("node_id").alias("doc_no"), F.lit(i).alias("word"), F.size(starting).alias("tf")).where("tf > 0")
+            hits = one if hits is None else hits.union(one)
+        docs = held.select(F.col("node_id").alias("doc_no"), F.col("node_id").alias("path"), F.size("t").alias("dl"))
+        scored = prefix_scores(hits, docs, len(words)).join(symbols.select(F.col("node_id").alias("path"), "name"), "path")
+        found = scored.orderBy(F.desc(F.round("score", 9)), F.length("name"), "name", "path").limit(limit).select(F.col("path").alias("node_id"), "name", F.lit(2).alias("stage"))
+        if not found.isEmpty():
+            return found
+    return stage(symbols.where(n.contains(q)), 3)
+
+
 def search_topics(topics: DataFrame, query: str, limit: int = 20) -> DataFrame:
     """Help topics: exact name or title, last segment, prefix, any place in name, title or text; ranks 0 to 6."""
     q = query.strip().lower().replace("\\", ".").replace("/", ".")

@@ -6,20 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` read back from Parquet files below ``spark.checkpoint.dir``: later steps neither plan nor compute it again, read
-    only the columns they name, and survive the loss of executors.
-
-    A temporary folder is set only where the session names none and runs in one process on this machine, as in tests.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. A temporary one is set only where the session names
+    none and runs in one process on this machine, as in tests."""
     if not spark.conf.get("spark.checkpoint.dir", None):
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="codeloom-"))
-    path = f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` read back from Parquet files in the shared folder: later steps neither plan nor compute it again, read only the
+    columns they name, and survive the loss of executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
