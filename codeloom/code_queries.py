@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import helptext, names, text
 from .operators import changes, check, conventions, entrypoints, graph, grep, rights, search, similar
-from .plans import build, code, tokens
+from .plans import build, code, tokens, types
 from .plans.driver import Tables, sql
 from .plans.settle import shared_folder
 from .plans.tokens import Scan
@@ -228,6 +228,14 @@ def _(t: Tables) -> DataFrame:
     return similar.profiles(t.features, 3).select("id", "category", "n", F.array_join("examples", ",").alias("examples"))
 
 
+@query("c07_propagated_types", """WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders),
+    f AS (SELECT o_custkey, k, i, 'Тип' || (k % 3) AS type, 0 AS round FROM o WHERE k % 4 = 0
+      UNION ALL SELECT o.o_custkey, o.k, o.i, f.type, f.round + 1 FROM f JOIN o ON o.o_custkey = f.o_custkey AND o.i = f.i + 1 WHERE o.k % 4 <> 0 AND f.round < 3)
+    SELECT 'CommonModules/M' || o_custkey || '/Ext/Module.bsl' AS path, 'P' || k AS routine, unnest(['А', 'Б', 'в']) AS name, type, CAST(round AS INTEGER) AS round FROM f""")
+def _(t: Tables) -> DataFrame:
+    return types.propagated_types(Scan(t.chains))
+
+
 # The stored inverted index
 
 

@@ -146,6 +146,23 @@ class Tables:
         packed = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "t"))).alias("a"))
         return packed.select(F.concat(F.lit("CommonModules/M"), F.col("o_custkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("text"))
 
+    @property
+    def chains(self) -> DataFrame:
+        """Customers as modules whose routines pass a variable on to the next routine; every fourth order creates an object."""
+        key = F.col("o_orderkey").cast("string")
+        after = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+        text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+        body = F.array(
+            text("Процедура P", key, "(Лишний, А)"),
+            F.when(F.col("o_orderkey") % 4 == 0, text("    А = Новый Тип", (F.col("o_orderkey") % 3).cast("string"), ";")),
+            F.lit("    в = Б.Скопировать(); Б = А; Г = А + 1; Круг = Обход; Обход = Круг;"),
+            F.when(F.col("after").isNotNull(), text("    Если Истина Тогда P", F.col("after").cast("string"), "(Г, // дальше (\n        В); КонецЕсли;")),
+            F.lit("КонецПроцедуры"),
+        )
+        rows = self["orders"].select("o_custkey", "o_orderkey", after.alias("after")).select("o_custkey", "o_orderkey", F.array_join(F.array_compact(body), "\n").alias("t"))
+        packed = rows.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "t"))).alias("a"))
+        return packed.select(F.concat(F.lit("CommonModules/M"), F.col("o_custkey").cast("string"), F.lit("/Ext/Module.bsl")).alias("path"), F.array_join(F.transform("a", lambda s: s["t"]), "\n").alias("text"))
+
     @property
     def rights(self) -> DataFrame:
         docs = self["documents"].select("doc_id", F.col("source").alias("role_id"), F.col("text").alias("condition"))
