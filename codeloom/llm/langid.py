@@ -280,7 +280,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for a, b in slices(batch.column(at), 1 << 19):
+            for a, b in slices(batch.column(at), 1 << 18):
                 part = batch.slice(a, b - a)
                 words = CodeWords(part.column(at).to_pylist(), "alpha")
                 langs, best = [UNKNOWN] * len(part), np.zeros(len(part))
