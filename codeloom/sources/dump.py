@@ -61,25 +61,64 @@ def sections(files: DataFrame, wanted: list[str]) -> DataFrame:
     return files.where(~F.col("path").contains("/") | F.split_part("path", F.lit("/"), F.lit(1)).isin(*wanted))
 
 
+# Fixed values of the container format: the table of entries, the header of a block, and where a record keeps its name.
+TABLE, ENTRIES, ENTRY, HEADER, NAME_AT, STORAGE = 47, 7, 12, 31, 51, "filestorage"
+
+
+def block_chain(data: memoryview, address: int) -> Iterator[memoryview]:
+    """Contents of the blocks of a chain in its order, wherever they lie. A block begins with a header of hexadecimal fields:
+    length of the whole, length of the block, place of the next. A chain ends at a place outside, at one that was there
+    before, or at a header that cannot be read; contents are views, so nothing is copied."""
+    seen: set[int] = set()
+    while 0 < address <= len(data) - HEADER and address not in seen:
+        seen.add(address)
+        head = bytes(data[address : address + HEADER])
+        try:
+            size, following = int(head[11:19], 16), int(head[20:28], 16)
+        except ValueError:
+            return
+        yield data[address + HEADER : min(address + HEADER + size, len(data))]
+        address = following if following < 0x7FFFFFFF else 0
+
+
+def stored_files(data: bytes) -> bytes | None:
+    """The payload of the entry ``FileStorage`` of a container, put together from its chain of blocks; None without one."""
+    view = memoryview(data)
+    for at in range(TABLE, TABLE + ENTRIES * ENTRY, ENTRY):
+        if at + 8 > len(data):
+            return None
+        record, content = (int.from_bytes(view[i : i + 4], "little", signed=True) for i in (at, at + 4))
+        if not (0 < record < len(data) and 0 < content < len(data)):
+            continue
+        name = bytes(view[record + NAME_AT : record + NAME_AT + 400])
+        if name[: len(name) // 2 * 2].decode("utf-16-le", "replace").split("\0")[0].lower() == STORAGE:
+            return b"".join(block_chain(view, content)) or None
+    return None
+
+
 def topics_of_archives(archives: DataFrame) -> DataFrame:
-    """``path, html`` of the topics in help containers: block chains that hold a ZIP of pages, one container a row."""
+    """``path, html`` of the topics in help containers ``(content)``: the chain of blocks that the entry ``FileStorage``
+    names holds a ZIP of pages. A file without such an entry is searched for a ZIP instead; a broken one gives no rows.
+    Pages are handed on one container at a time."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pages(data: bytes) -> list[tuple[str, str]]:
         import io
         import zipfile
 
+        stored = stored_files(data)
+        at = 0 if stored is not None else data.find(b"PK\x03\x04")
+        data = data if stored is None else stored
+        while at >= 0:
+            try:
+                with zipfile.ZipFile(io.BytesIO(data[at:])) as z:
+                    return [(n, z.read(n).decode("utf-8", "replace")) for n in z.namelist() if n.lower().endswith((".html", ".htm"))]
+            except zipfile.BadZipFile:
+                at = data.find(b"PK\x03\x04", at + 4)
+        return []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for content in batch["content"]:
-                data = bytes(content)
-                at = data.find(b"PK\x03\x04")
-                while at >= 0:  # the payload may start after any header
-                    try:
-                        with zipfile.ZipFile(io.BytesIO(data[at:])) as z:
-                            rows += [(n, z.read(n).decode("utf-8", "replace")) for n in z.namelist() if n.lower().endswith((".html", ".htm"))]
-                        break
-                    except zipfile.BadZipFile:
-                        at = data.find(b"PK\x03\x04", at + 4)
-            yield pd.DataFrame(rows, columns=["path", "html"])
+                yield pd.DataFrame(pages(bytes(content)), columns=["path", "html"])
 
     return archives.select("content").mapInPandas(run, "path string, html string")
