@@ -119,7 +119,7 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 20):
+            for a, b in slices(batch.column(1), 1 << 19):
                 part = batch.slice(a, b - a)
                 sets, nodes = [], []
                 for t in part.column(1).to_pylist():
@@ -135,20 +135,31 @@ def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
     return rows.select("row_id", "_text").mapInArrow(run, "row_id long, node long, n int, h array<long>")
 
 
+def _some_rows(batch: pa.RecordBatch, sizes: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``limit`` elements by the column ``sizes``, so that arrays over elements stay small."""
+    ends = np.cumsum(batch.column(sizes).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(batch):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def common_buckets(sets: DataFrame) -> np.ndarray:
     """About how often the shingles of each bucket occur. Each task tells only what stands out: the counts give an order,
     and any order leads to the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some_rows(whole, 1)):
             h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
         some = np.flatnonzero(total > 1 + 2 * total.mean())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["bucket", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    for r in sets.select("h").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in sets.select("h", "n").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -159,7 +170,7 @@ def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in _some_rows(whole, 1)):
             node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             h = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             owner = np.repeat(np.arange(len(size)), size)
