@@ -7,12 +7,12 @@ parameters, from call to call: each round joins the parameters that got a type i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import code
 from .settle import settle
-from .tokens import Scan, is_target, with_before
+from .tokens import TARGET, Scan, is_target
 
 #: Methods that give an object of the type of their own; fixed values.
 COPIES = ("скопировать", "создать", "copy", "create")
@@ -21,26 +21,19 @@ DOUBLINGS = 20
 
 def argument_names(scan: Scan) -> DataFrame:
     """``path, at, place, name``: arguments that are one plain name; ``at`` is the bracket of the call, places count from 0."""
-    t = scan.tokens.where("level > 0").select("path", "block", "level", "at", "text", "kind", "opens", "p1", "f1")
-    w = Window.partitionBy("path", "block", "level").orderBy("at")
-    comma = (F.col("text") == ",") & (F.col("kind") == "o")
-    t = t.withColumn("commas", F.sum(comma.cast("int")).over(w))
-    t = t.withColumn("open", F.last(F.when(F.col("opens"), F.struct("at", "commas")), ignorenulls=True).over(w))
-    alone = (F.col("kind") == "c") & ~F.col("text").rlike(r"[.\[]") & F.col("p1.text").isin("(", ",") & F.col("f1.text").isin(")", ",")
-    return t.where(alone & F.col("open").isNotNull()).select("path", F.col("open.at").alias("at"), (F.col("commas") - F.col("open.commas")).alias("place"), F.lower("text").alias("name"))
+    return scan.marked(["path", "text", "argument"], "argument").select("path", "argument.at", "argument.place", F.lower("text").alias("name"))
 
 
 def last_sources(scan: Scan) -> DataFrame:
     """``path, routine, key, name, type, source``: the last assignment of each variable, with the type it creates or the
     variable whose value or copy it takes; neither where it is anything else."""
-    seen = with_before(scan.tokens.select("path", "block", "at", "n", "text", "kind", "p1", "f1"), 2)
-    whole = (F.col("kind") == "c") & (F.col("p1.text") == "=") & (F.col("p2.kind") == "c")
+    seen = scan.marked(["path", "block", "text", "f1", "given"], "given").select("path", "block", "text", "f1", "given")
     bare = F.regexp_replace("text", r"\s+", "")
-    alias = whole & (F.col("f1.text") == ";") & ~F.col("text").rlike(r"[.\[]")
-    copy = whole & (F.col("f1.text") == "(") & F.lower(F.substring_index(bare, ".", -1)).isin(*COPIES) & (F.size(F.split(bare, r"\.")) == 2) & ~F.contains(bare, F.lit("["))
+    alias = (F.col("f1.text") == ";") & ~F.col("text").rlike(r"[.\[]")
+    copy = (F.col("f1.text") == "(") & F.lower(F.substring_index(bare, ".", -1)).isin(*COPIES) & (F.size(F.split(bare, r"\.")) == 2) & ~F.contains(bare, F.lit("["))
     source = F.when(alias, F.lower("text")).when(copy, F.lower(F.substring_index(bare, ".", 1)))
-    taken = seen.select("path", "block", F.col("p2.text").alias("name"), source.alias("source")).where("source is not null").groupBy("path", "block", "name").agg(F.min("source").alias("source"))
-    places = scan.tokens.where((F.col("kind") == "c") & (F.col("f1.text") == "=") & F.col("routine").isNotNull() & is_target()).select("path", F.col("text").alias("name"), "at", "block")
+    taken = seen.select("path", "block", F.col("given").alias("name"), source.alias("source")).where("source is not null").groupBy("path", "block", "name").agg(F.min("source").alias("source"))
+    places = scan.marked(["path", "at", "block", "routine", "n", *TARGET], "target").where((F.col("f1.text") == "=") & F.col("routine").isNotNull() & is_target()).select("path", F.col("text").alias("name"), "at", "block")
     made = code.created(scan).join(places, ["path", "name", "at"]).join(taken, ["path", "block", "name"], "left")
     last = made.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("at", "name", "type", "source")).alias("l"))
     return last.select("path", "routine", "key", "l.name", "l.type", "l.source")
