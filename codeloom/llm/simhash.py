@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import components, cut, drop_cut, row_ids, sieve
+from .common import components, cut, drop_cut, row_ids, sieve, sieve_words
 
 SEED = 42
 
@@ -114,89 +114,108 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, blocks:
 SKETCH = 1 << 18
 
 
+def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Some rows ``(row_id, _text)`` at a time: ids, the distinct shingle hashes of each text in order, their SimHashes."""
+    for batch in batches:
+        for a, b in slices(batch.column(1), 1 << 18):
+            part = batch.slice(a, b - a)
+            sets, prints = [], np.zeros(b - a, np.uint64)
+            for i, t in enumerate(part.column(1).to_pylist()):
+                hashes: list[int] = []
+                shingle_hashes(t or "", words, hashes)
+                h = np.array(hashes, np.uint64)
+                sets.append(np.unique(h))
+                prints[i] = _majority(h)
+            yield part.column(0).to_numpy(), sets, prints
+
+
+def _majority(h: np.ndarray) -> np.uint64:
+    """The bits set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for a in range(0, len(h), 1 << 12):
+        ones += np.unpackbits(h[a : a + (1 << 12)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0]
+
+
+def _node(h: np.ndarray) -> int:
+    n = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    return n - (1 << 64) if n >> 63 else n
+
+
+def set_prints(rows: DataFrame, words: int) -> DataFrame:
+    """``(row_id, node long, n int, fp long)``: a hash of the set of distinct shingles of every ``_text``, its size, and the
+    SimHash. The sets are eight bytes a word, more than the text: they are not kept, but made again where they are needed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets, prints in _sets(batches, words):
+            columns = [pa.array(ids), pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(prints.view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["row_id", "node", "n", "fp"])
+
+    return rows.select("row_id", "_text").mapInArrow(run, "row_id long, node long, n int, fp long")
+
+
 def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """``(row_id, node long, n int, h array<long>)``: the distinct shingle hashes of every ``_text`` and a hash of the set."""
+    """``(node long, n int, h array<long>)``: the distinct shingle hashes of every ``_text`` and a hash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(batch.column(1), 1 << 19):
-                part = batch.slice(a, b - a)
-                sets, nodes = [], []
-                for t in part.column(1).to_pylist():
-                    hashes: list[int] = []
-                    shingle_hashes(t or "", words, hashes)
-                    sets.append(np.unique(np.array(hashes, np.uint64)))
-                    nodes.append(xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED))
-                size = np.array([len(x) for x in sets], np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(size), lists], ["row_id", "node", "n", "h"])
-
-    return rows.select("row_id", "_text").mapInArrow(run, "row_id long, node long, n int, h array<long>")
-
-
-def _some_rows(batch: pa.RecordBatch, sizes: int, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch with about ``limit`` elements by the column ``sizes``, so that arrays over elements stay small."""
-    ends = np.cumsum(batch.column(sizes).to_numpy().astype(np.int64))
-    at = 0
-    while at < len(batch):
-        before = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
-        yield batch.slice(at, end - at)
-        at = end
-
-
-def common_buckets(sets: DataFrame) -> np.ndarray:
+        for _, sets, _ in _sets(batches, words):
+            size = np.array([len(x) for x in sets], np.int32)
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array(size), lists], ["node", "n", "h"])
+
+    return rows.select("row_id", "_text").mapInArrow(run, "node long, n int, h array<long>")
+
+
+def common_buckets(rows: DataFrame, words: int) -> np.ndarray:
     """About how often the shingles of each bucket occur. Each task tells only what stands out: the counts give an order,
     and any order leads to the same pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
-        for batch in (part for whole in batches for part in _some_rows(whole, 1)):
-            h = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((h % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
+        for _, sets, _ in _sets(batches, words):
+            for h in sets:
+                np.add.at(total, (h % np.uint64(SKETCH)).astype(np.int64), 1)
         some = np.flatnonzero(total > 1 + 2 * total.mean())
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some])], ["bucket", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    for r in sets.select("h", "n").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in rows.select("row_id", "_text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r["bucket"]] = r["n"]
     return out
 
 
-def prefix_rows(sets: DataFrame, threshold: float) -> DataFrame:
+def prefix_rows(rows: DataFrame, words: int, threshold: float) -> DataFrame:
     """``(k long, node long, n int)``: the rarest shingles of every set, so many that sets of the similarity share one."""
-    shared = sets.sparkSession.sparkContext.broadcast(common_buckets(sets))
+    shared = rows.sparkSession.sparkContext.broadcast(common_buckets(rows, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = shared.value
-        for batch in (part for whole in batches for part in _some_rows(whole, 1)):
-            node, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            h = batch.column(2).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(len(size)), size)
-            order = np.lexsort((h, often[(h % np.uint64(SKETCH)).astype(np.int64)], owner))
-            place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-            first = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-            some = place < first[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(h[order][some].view(np.int64)), pa.array(node[owner[some]]), pa.array(size[owner[some]])], ["k", "node", "n"])
+        for _, sets, _ in _sets(batches, words):
+            some = []
+            for h in sets:
+                first = len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1 if len(h) else 0
+                some.append(h[np.argsort(often[(h % np.uint64(SKETCH)).astype(np.int64)], kind="stable")[:first]])
+            many = [len(x) for x in some]
+            node, size = (np.repeat(np.array([f(h) for h in sets], t), many) for f, t in ((_node, np.int64), (len, np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *some]).view(np.int64)), pa.array(node), pa.array(size)], ["k", "node", "n"])
 
-    return sets.select("node", "n", "h").mapInArrow(run, "k long, node long, n int")
+    return rows.select("row_id", "_text").mapInArrow(run, "k long, node long, n int")
 
 
-def parity_bits(sets: DataFrame) -> DataFrame:
-    """``(node, n, bits binary)`` of ``sets(node, n, h)``: for each of 2 to 4 places an element, whether an odd number of
+def parity_bits(rows: DataFrame, words: int) -> DataFrame:
+    """``(node, n, bits binary)`` of the sets: for each of 2 to 4 places an element, whether an odd number of
     elements falls there. A quarter of a byte or two an element, where the set itself has eight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, sets, _ in _sets(batches, words):
             made = []
-            for n, h in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                places = 1 << max(6, (2 * n - 1).bit_length())
-                at = h.values.to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(places)
-                made.append(np.packbits(np.bincount(at.astype(np.int64), minlength=places) & 1).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["node", "n", "bits"])
+            for h in sets:
+                places = 1 << max(6, (2 * len(h) - 1).bit_length())
+                made.append(np.packbits(np.bincount((h % np.uint64(places)).astype(np.int64), minlength=places) & 1).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in sets], pa.int64()), pa.array([len(h) for h in sets], pa.int32()), pa.array(made, pa.binary())], ["node", "n", "bits"])
 
-    return sets.select("node", "n", "h").mapInArrow(run, "node long, n int, bits binary")
+    return rows.select("row_id", "_text").mapInArrow(run, "node long, n int, bits binary")
 
 
 def within_reach(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -223,32 +242,40 @@ def within_reach(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.select("a", "m", "g", "b", "n", "bits").mapInArrow(run, "a long, b long")
 
 
-def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
-    """``(node long, component long)`` of the rows of ``shingle_sets`` over all pairs of distinct sets whose Jaccard similarity reaches ``threshold``.
+def same_prints(named: DataFrame) -> DataFrame:
+    """Candidates ``(a, n, b, m)`` by SimHash: sets of one fingerprint with the smallest node of it, and the smallest nodes
+    of fingerprints that differ in at most two bits."""
+    first = named.groupBy("fp").agg(F.min("node").alias("b"))
+    sizes = named.select(F.col("node").alias("b"), F.col("n").alias("m"))
+    alike = named.join(first, "fp").where("node <> b").select(F.col("node").alias("a"), "b")
+    close = close_pairs(named).join(first.select(F.col("fp").alias("a"), F.col("b").alias("one")), "a").join(first.select(F.col("fp").alias("b"), F.col("b").alias("two")), "b")
+    both = alike.union(close.select(F.col("one").alias("a"), F.col("two").alias("b")))
+    return both.join(named.select(F.col("node").alias("a"), "n"), "a").join(sizes, "b").select("a", "n", "b", "m")
+
 
-    Such sets share one of their rarest shingles (prefix filter), so no pair is missed. First each set meets the
+def similar_sets(rows: DataFrame, prints: DataFrame, words: int, threshold: float) -> DataFrame:
+    """``(node long, component long)`` over all pairs of distinct shingle sets of ``rows(row_id, _text)`` whose Jaccard
+    similarity reaches ``threshold``; ``prints`` are their ``set_prints``.
+
+    Pairs of close SimHashes are verified first and give components. As no distance of 64 bits guarantees a similarity,
+    the rest is found exactly: similar sets share one of their rarest shingles (prefix filter). Each set meets the
     smallest node of each shingle; then, where a shingle still joins several components, the sets outside the largest
-    one meet the others of it. Copies and large groups of near copies so never expand into all pairs. Parity bits rule
-    out most pairs that are not similar before a whole set is moved; those left are verified on the whole sets. Unrelated
-    sets of similar size that share one of their rarest shingles do meet in pairs of bits.
+    one meet the others of it. Copies and large groups of near copies so never expand into all pairs, and sets of one
+    component never meet again. Parity bits rule out most pairs that are not similar before a whole set is moved; those
+    left are verified on the whole sets. Unrelated sets of similar size that share one of their rarest shingles do meet
+    in pairs of bits.
     """
-    keys = cut(prefix_rows(sets, threshold), "keys")
-    lowest = F.min(F.struct("node", "n"))
-    centres = cut(keys.groupBy("k").agg(lowest.alias("c"), F.max("node").alias("top")).where("c.node <> top").select("k", "c"), "centres")
-    met = cut(sieve(keys, "k", centres.select("k")).join(centres, "k").select("k", "node", "n", "c").distinct(), "met")
-    drop_cut(keys)
-    drop_cut(centres)
-    named = sets.groupBy("node").agg(F.min("row_id").alias("row_id"))
+    named = cut(prints.where("n > 0").groupBy("node").agg(F.min("row_id").alias("row_id"), F.min("n").alias("n"), F.min("fp").alias("fp")), "named")
     fits = (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         pairs = cut(pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        bits = cut(parity_bits(held(pairs)).dropDuplicates(["node"]), "bits")
+        bits = cut(parity_bits(held(pairs), words).dropDuplicates(["node"]), "bits")
         near = pairs.join(bits.select(F.col("node").alias("a"), F.col("n").alias("m"), F.col("bits").alias("g")), "a").join(bits.withColumnRenamed("node", "b"), "b")
         near = cut(within_reach(near, threshold), "near")
         drop_cut(pairs)
         drop_cut(bits)
-        whole = held(near).dropDuplicates(["node"])
+        whole = shingle_sets(held(near), words).dropDuplicates(["node"])
         left = whole.select(F.col("node").alias("a"), F.col("h").alias("g"), F.col("n").alias("m"))
         both = near.join(left, "a").join(whole.withColumnRenamed("node", "b"), "b")
         same = F.size(F.array_intersect("g", "h"))
@@ -257,21 +284,32 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
         return out
 
     def held(pairs: DataFrame) -> DataFrame:
-        """One row of each set that a pair names, or a few equal ones; only these are moved."""
+        """The text of one row of each set that a pair names, and a few more texts. None is moved."""
         wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         some = cut(sieve(named, "node", wanted).join(wanted, "node").select("row_id"), "wanted")
-        return sieve(sets, "row_id", some).join(some, "row_id", "left_semi").select("node", "n", "h")
+        return sieve(rows, "row_id", some, words=sieve_words(some))
 
-    star = met.where("node <> c.node").select(F.col("node").alias("a"), "n", F.col("c.node").alias("b"), F.col("c.n").alias("m"))
-    found = links(star, "star")
+    found = links(same_prints(named), "close")
+    linked = cut(components(found), "linked")
+    keys = cut(prefix_rows(rows, words, threshold), "keys")
+    centres = cut(keys.groupBy("k").agg(F.min("node").alias("c"), F.max("node").alias("top")).where("c <> top").select("k", "c"), "centres")
+    met = cut(sieve(keys, "k", centres, words=sieve_words(centres)).join(centres, "k").select("k", "node", "n", "c").distinct(), "met")
+    drop_cut(keys)
+    drop_cut(centres)
+    star = met.where("node <> c").select(F.col("node").alias("a"), "n", F.col("c").alias("b")).distinct()
+    star = star.join(linked.select(F.col("node").alias("a"), F.col("component").alias("one")), "a", "left").join(linked.select(F.col("node").alias("b"), F.col("component").alias("two")), "b", "left")
+    star = star.where("one is null or two is null or one <> two").join(named.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+    found = found.union(links(star.select("a", "n", "b", "m"), "star"))
+    drop_cut(linked)
     linked = cut(components(found), "linked")
-    told = met.join(linked, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component"))
-    told = cut(told, "told")
+    told = cut(met.join(linked, "node", "left").select("k", "node", "n", F.coalesce("component", "node").alias("component")), "told")
+    drop_cut(met)
     parts = told.groupBy("k", "component").agg(F.count("*").alias("many")).groupBy("k").agg(F.max_by("component", "many").alias("large"), F.count("*").alias("parts"))
-    mixed = parts.where("parts > 1").select("k", "large")
+    mixed = cut(parts.where("parts > 1").select("k", "large"), "mixed")
     outside = told.join(mixed, "k").where("component <> large").select("k", F.col("node").alias("a"), "n", F.col("component").alias("one"))
-    others = told.select("k", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("two"))
+    others = told.join(mixed, "k", "left_semi").select("k", F.col("node").alias("b"), F.col("n").alias("m"), F.col("component").alias("two"))
     more = links(outside.join(others, "k").where("one <> two"), "more")
+    drop_cut(told)
     return linked if more.isEmpty() else components(found.union(more))
 
 
@@ -280,12 +318,13 @@ def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_column:
     the text.
 
     Texts are near copies if the Jaccard similarity of their sets of ``words``-word shingles reaches ``threshold``;
-    groups are the connected components. Texts without words are copies of each other; rows that repeat both id and
-    text count as copies, so one of them stays.
+    groups are the connected components. Close SimHashes are looked at first, a prefix filter finds the rest. Texts
+    without words are copies of each other; rows that repeat both id and text count as copies, so one of them stays.
     """
     rows = row_ids(docs, id_column, text)
-    prints = cut(shingle_sets(rows.select("row_id", F.col(text).alias("_text")), words), "sets")
-    linked = similar_sets(prints.where("n > 0"), threshold)
+    texts = rows.select("row_id", F.col(text).alias("_text"))
+    prints = cut(set_prints(texts, words), "prints")
+    linked = similar_sets(texts, prints, words, threshold)
     ids = rows.select(F.col(id_column).alias("i"), "row_id").distinct()
     named = prints.select("row_id", "node").distinct().join(linked, "node", "left").join(ids, "row_id").select("row_id", F.struct("i", F.col("row_id").alias("r")).alias("_key"), F.coalesce("component", "node").alias("component"))
     stay = cut(named.groupBy("component").agg(F.min("_key").alias("_key")).select("_key.r").withColumnRenamed("r", "row_id"), "stay")

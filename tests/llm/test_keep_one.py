@@ -1,8 +1,10 @@
 """The stage of near copies against all pairs of texts."""
 
+import os
 import random
+from urllib.parse import urlparse
 
-from codeloom.llm import simhash
+from codeloom.llm import common, simhash
 
 from . import oracles
 
@@ -52,3 +54,14 @@ def test_near_copies_of_the_smallest_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     want = plain([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == want
+
+
+def test_simhash_links_first_and_sets_are_not_kept(spark):
+    base = [f"word{i * 7 % 97}x{i}" for i in range(300)]
+    docs = [(n, " ".join([*base[:n], "changed", *base[n + 1 :]])) for n in (1, 2, 3)] + [(9, " ".join(reversed(base)))]
+    root = urlparse(common.shared_dir(spark)).path
+    before = set(os.listdir(root))
+    assert sorted(r.doc_id for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()) == [1, 9]
+    made = {x.rpartition("-")[0]: spark.read.parquet(f"{root}/{x}") for x in set(os.listdir(root)) - before}
+    assert made["close"].count() > 0
+    assert not [name for name, df in made.items() if "h" in df.columns]
