@@ -7,7 +7,9 @@ statistics turn into a read of a few row groups.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grep as grep_
+from ..plans.settle import settle
 
 TERM = r"[\p{L}\p{N}]+"
 #: Documents of a block, as a power of two.
 BLOCK = 12
+#: Postings of a block that a task holds before it gives them; a key of more has several rows in the block.
+HELD = 1 << 21
 #: Signs that part the words of a query.
 PARTS = " ./\\(),:#*\"'"
 #: Above every sign that a key may have.
@@ -30,9 +35,49 @@ def words_of(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(TERM), F.lit(0))
 
 
-def grams_of(text: str | Column) -> Column:
-    """All three signs in a row, lower-cased: an empty match at every place that looks ahead, linear in the text."""
-    return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit("(?s)(?=(...))"), F.lit(1))
+def posting_rows(source: DataFrame) -> DataFrame:
+    """``key, block, n, first, steps, tfs`` of ``source(doc_no, x)`` in the stored order: the words ``x`` with their counts, or
+    the different trigrams of the text ``x``.
+
+    Documents of a block follow each other in the stored files, so a task packs the lists of a block itself: what is
+    shuffled later is a row for each key and block, not one for each key and document.
+    """
+    words = source.schema["x"].dataType.typeName() == "array"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, tfs, block, held = defaultdict(list), defaultdict(list), -1, 0
+        for part in (batch.slice(a, 256) for batch in batches for a in range(0, len(batch), 256)):
+            for no, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                if held and (no >> BLOCK != block or held >= HELD):
+                    yield _packed(docs, tfs, block)
+                    docs, tfs, held = defaultdict(list), defaultdict(list), 0
+                block = no >> BLOCK
+                if words:
+                    found = Counter(x)
+                    for key, tf in found.items():
+                        docs[key].append(no)
+                        tfs[key].append(tf)
+                else:
+                    found = {x[i : i + 3] for i in range(len(x) - 2)}
+                    for key in found:
+                        docs[key].append(no)
+                held += len(found)
+        if held:
+            yield _packed(docs, tfs, block)
+
+    return source.select("doc_no", "x").mapInArrow(run, "key string, block long, n int, first long, steps array<int>, tfs array<int>")
+
+
+def _packed(docs: dict[str, list[int]], tfs: dict[str, list[int]], block: int) -> pa.RecordBatch:
+    n = np.fromiter(map(len, docs.values()), np.int32, len(docs))
+    ends = np.cumsum(n)
+    ids = np.fromiter(chain.from_iterable(docs.values()), np.int64, int(ends[-1]))
+    steps = np.diff(ids, prepend=ids[:1])
+    steps[ends - n] = 0
+    counts = np.fromiter(chain.from_iterable(tfs.values()), np.int32, len(ids)) if tfs else np.ones(len(ids), np.int32)
+    offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (steps, counts)]
+    return pa.RecordBatch.from_arrays([pa.array(list(docs), pa.string()), pa.array(np.full(len(n), block, np.int64)), pa.array(n), pa.array(ids[ends - n]), *lists], ["key", "block", "n", "first", "steps", "tfs"])
 
 
 def write_inverted(texts: DataFrame, root: str, kinds: tuple[str, ...] = ("term", "gram")) -> None:
@@ -44,13 +89,10 @@ def write_inverted(texts: DataFrame, root: str, kinds: tuple[str, ...] = ("term"
     ordered = texts.select("path", "text").repartitionByRange("path").sortWithinPartitions("path").withColumn("doc_no", F.monotonically_increasing_id())
     ordered.withColumn("n_terms", F.coalesce(F.size(words_of("text")), F.lit(0))).write.parquet(f"{root}/texts")
     stored = spark.read.parquet(f"{root}/texts").where("text is not null")
-    made = {"term": words_of("text"), "gram": F.array_distinct(grams_of("text"))}
+    made = {"term": words_of("text"), "gram": F.lower("text")}
     for kind in kinds:
-        rows = stored.select("doc_no", F.explode(made[kind]).alias("key")).groupBy("key", "doc_no").agg(F.count("*").cast("int").alias("tf"))
-        packed = rows.groupBy("key", F.shiftright("doc_no", BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("doc_no", "tf"))).alias("a"))
-        ids = F.transform("a", lambda x: x["doc_no"])
-        steps = F.transform(ids, lambda x, i: F.when(i == 0, 0).otherwise(x - F.get(ids, i - 1)).cast("int"))
-        coded = packed.select("key", "block", F.size("a").alias("n"), F.get(ids, F.lit(0)).alias("first"), steps.alias("steps"), F.transform("a", lambda x: x["tf"]).alias("tfs"))
+        # Settled, as the bounds of the ranges are drawn from the rows before these are moved.
+        coded = settle(posting_rows(stored.select("doc_no", made[kind].alias("x"))))
         coded.repartitionByRange("key", "block").sortWithinPartitions("key", "block").write.option("parquet.block.size", 1 << 20).parquet(f"{root}/{kind}")
 
 

@@ -82,3 +82,14 @@ def test_first_stage(spark):
     ask = lambda q: [(r.node_id, r.stage) for r in search.first_stage_search(symbols, q).collect()]
     assert ask("ORDER") == [("1", 0)] and ask("orderb") == [("2", 1)] and ask("eorde") == [("5", 3)] and ask("zzz") == [] and ask("  ") != [("9", 9)]
     assert {n for n, s in ask("pay bill") if s == 2} == {"1", "3", "4"}
+
+
+@pytest.mark.parametrize("kind", ["string", "array<string>"])
+def test_postings_are_packed_before_they_are_moved(spark, kind):
+    docs = [(n * 700, "abcab" + "xyz" * (n % 3)) if kind == "string" else (n * 700, ["a", "b", "a"] + ["c"] * (n % 3)) for n in range(30)]
+    packed = inverted.posting_rows(spark.createDataFrame(docs, f"doc_no long, x {kind}").coalesce(1))
+    assert "Exchange" not in packed._jdf.queryExecution().toString()
+    rows = packed.collect()
+    assert len({(r.key, r.block) for r in rows}) == len(rows) and all(r.n == len(r.steps) == len(r.tfs) for r in rows)
+    want = [(k, n, 1) for n, x in docs for k in {x[i : i + 3] for i in range(len(x) - 2)}] if kind == "string" else [(k, n, x.count(k)) for n, x in docs for k in set(x)]
+    assert sorted(tuple(r) for r in inverted.decoded(packed).collect()) == sorted(want)
