@@ -115,17 +115,21 @@ def by_owner(hits: DataFrame, owners: DataFrame) -> DataFrame:
 
 def comment_heads(numbered: DataFrame, starts: DataFrame, marker: str = "//", most: int = 3) -> DataFrame:
     """Up to ``most`` comment lines right above each ``starts(path, n)``, blank and ``&`` lines skipped."""
-    quiet = F.trim("line").startswith("&") | (F.trim("line") == "")
-    kept = numbered.where(~quiet).join(starts.withColumn("start", F.lit(True)), ["path", "n"], "left")
+    trimmed = F.trim("line")
+    # Of other lines than comments only the number moves; lines and starts are dealt once, by path.
+    held = numbered.where(~(trimmed.startswith("&") | (trimmed == ""))).select("path", F.col("n").cast("long").alias("n"), F.when(trimmed.startswith(marker), trimmed).alias("line"), F.lit(1).alias("held"), F.lit(0).alias("start"))
+    asked = starts.select("path", F.col("n").cast("long").alias("n"), F.lit(None).cast("string").alias("line"), F.lit(0).alias("held"), F.lit(1).alias("start"))
+    kept = held.union(asked).repartition("path").groupBy("path", "n").agg(F.max("line").alias("line"), F.max("held").alias("held"), F.sum("start").alias("start")).where("held = 1")
     back = Window.partitionBy("path").orderBy("n")
-    above = [F.coalesce(F.trim(F.lag("line", k).over(back)), F.lit("")) for k in range(1, most + 1)]
-    seen = kept.select("path", "n", "start", *[a.alias(f"c{k}") for k, a in enumerate(above)]).where("start")
+    above = [F.coalesce(F.lag("line", k).over(back), F.lit("")) for k in range(1, most + 1)]
+    seen = kept.select("path", "n", "start", *[a.alias(f"c{k}") for k, a in enumerate(above)]).where("start > 0")
+    seen = seen.withColumn("each", F.explode(F.array_repeat(F.lit(0), F.col("start").cast("int"))))
     # A comment counts as long as all below it are comments too.
     goes, lines_ = F.lit(True), []
     for k in range(most):
         goes = goes & F.col(f"c{k}").startswith(marker)
         lines_.insert(0, F.when(goes, F.col(f"c{k}")))
-    return seen.select("path", "n", F.concat_ws("\n", *lines_).alias("comment_head"))
+    return seen.select("path", F.col("n").cast(numbered.schema["n"].dataType).alias("n"), F.concat_ws("\n", *lines_).alias("comment_head"))
 
 
 def decorated(hits: DataFrame, owners: DataFrame, symbols: DataFrame, layers: DataFrame) -> DataFrame:

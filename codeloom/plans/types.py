@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from . import code
 from .settle import settle
-from .tokens import TARGET, Scan, is_target
+from .tokens import Scan
 
 #: Methods that give an object of the type of their own; fixed values.
 COPIES = ("скопировать", "создать", "copy", "create")
@@ -33,8 +33,7 @@ def last_sources(scan: Scan) -> DataFrame:
     copy = (F.col("f1.text") == "(") & F.lower(F.substring_index(bare, ".", -1)).isin(*COPIES) & (F.size(F.split(bare, r"\.")) == 2) & ~F.contains(bare, F.lit("["))
     source = F.when(alias, F.lower("text")).when(copy, F.lower(F.substring_index(bare, ".", 1)))
     taken = seen.select("path", "block", F.col("given").alias("name"), source.alias("source")).where("source is not null").groupBy("path", "block", "name").agg(F.min("source").alias("source"))
-    places = scan.marked(["path", "at", "block", "routine", "n", *TARGET], "target").where((F.col("f1.text") == "=") & F.col("routine").isNotNull() & is_target()).select("path", F.col("text").alias("name"), "at", "block")
-    made = code.created(scan).join(places, ["path", "name", "at"]).join(taken, ["path", "block", "name"], "left")
+    made = code.created(scan).join(taken, ["path", "block", "name"], "left")
     last = made.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("at", "name", "type", "source")).alias("l"))
     return last.select("path", "routine", "key", "l.name", "l.type", "l.source")
 
