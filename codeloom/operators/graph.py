@@ -282,11 +282,21 @@ def ranked_with_owner(edges: DataFrame, symbols: DataFrame, limit: int, prefix:
 
 def type_info(objects: DataFrame, refs: DataFrame, most: int = 8) -> DataFrame:
     """``id, types``: different targets of the own type references, then of those of the owner whose detail holds the
-    name of the child; at most ``most``, own first, then by target."""
+    name of the child; at most ``most``, own first, then by target.
+
+    A name is held by a detail where it equals one of its pieces of the same length, so children and details meet on owner
+    and piece; the pieces have the lengths that names below the owner have. No owner's children meet all its references.
+    """
     typed = refs.where("context = 'type'")
     own = objects.select("id").join(typed.select(F.col("source_id").alias("id"), "target_id"), "id").select("id", "target_id", F.lit(0).alias("stage"))
     child = objects.where("parent_id is not null").select("id", "name", "parent_id")
-    of_owner = child.join(typed.select(F.col("source_id").alias("parent_id"), "target_id", "detail"), "parent_id").where(F.contains("detail", "name")).select("id", "target_id", F.lit(1))
+    lengths = child.groupBy("parent_id").agg(F.collect_set(F.length("name")).alias("lengths"))
+    details = typed.where("detail is not null").select(F.col("source_id").alias("parent_id"), "target_id", "detail").distinct().join(lengths, "parent_id")
+    size = F.length("detail")
+    fits = F.filter("lengths", lambda n: n <= size)
+    pieces = F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(F.col("detail"), i, n))))
+    held = details.select("parent_id", "target_id", F.explode(F.array_distinct(pieces)).alias("name")).distinct()
+    of_owner = child.join(held, ["parent_id", "name"]).select("id", "target_id", F.lit(1))
     first = own.union(of_owner).groupBy("id", "target_id").agg(F.min("stage").alias("stage"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("stage", "target_id"))
     kept = first.withColumn("r", rank).where(F.col("r") <= most)
