@@ -62,11 +62,15 @@ def _product(c: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 def _pairs(blocks: DataFrame, queries: DataFrame, groups: int) -> DataFrame:
-    """Every candidate block beside every block of the stated queries: query blocks are copied to each group."""
+    """Every candidate block beside every block of the stated queries: query blocks are copied to each group.
+
+    The copies are shuffled: an estimate of their size leaves out how often they are copied, and a broadcast by it would
+    gather all copies in the driver.
+    """
     left = blocks.withColumn("g", F.pmod(F.xxhash64("no"), F.lit(groups).cast("long")))
     names = {c: f"q_{c}" for c in queries.columns if c != "width"}
     right = queries.withColumnsRenamed(names).withColumn("g", F.explode(F.expr(f"sequence(0L, {groups - 1}L)")))
-    return left.join(right, ["g", "width"])
+    return left.join(right.hint("merge"), ["g", "width"])
 
 
 def _split(width: int, nodes: int) -> list[slice]:

@@ -41,3 +41,10 @@ def test_cutoff_loses_nothing():
 def test_quantise_keeps_repeated_rows(spark):
     df = spark.createDataFrame([(1, [0.5]), (1, [0.5]), (2, []), (None, [0.1])], "vec_id long, embedding array<float>")
     assert topk.quantise(df).agg(F.count("*")).first()[0] == 2
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    rows = spark.createDataFrame([(i, [i, 1]) for i in range(8)], "vec_id long, v array<long>")
+    blocks = topk._pack(rows, 4)
+    plan = topk._pairs(blocks, blocks, 64)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
