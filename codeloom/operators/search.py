@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import identifier_tokens
+from ..plans.settle import settle
 
 
 def ladder(rules: list[tuple[Column, int]]) -> Column:
@@ -127,15 +128,16 @@ def first_stage_search(symbols: DataFrame, query: str, limit: int = 20) -> DataF
     words = query_words(query)
     if words:
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "comment_head", "parameters") if c in symbols.columns]
-        held = symbols.select("node_id", "name", identifier_tokens(F.concat_ws(" ", *parts)).alias("t"))
+        # The terms are read once: a row keeps only how many there are and how many begin with each word.
+        t = symbols.select("node_id", "name", identifier_tokens(F.concat_ws(" ", *parts)).alias("t"))
+        held = settle(t.select("node_id", "name", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x.startswith(w))).alias(f"tf{i}") for i, w in enumerate(words)]))
         hits = None
-        for i, w in enumerate(words):
-            starting = F.filter("t", lambda x: x.startswith(w))  # noqa: B023
-            one = held.select(F.col("node_id").alias("doc_no"), F.lit(i).alias("word"), F.size(starting).alias("tf")).where("tf > 0")
+        for i in range(len(words)):
+            one = held.select(F.col("node_id").alias("doc_no"), F.lit(i).alias("word"), F.col(f"tf{i}").alias("tf")).where("tf > 0")
             hits = one if hits is None else hits.union(one)
-        docs = held.select(F.col("node_id").alias("doc_no"), F.col("node_id").alias("path"), F.size("t").alias("dl"))
-        scored = prefix_scores(hits, docs, len(words)).join(symbols.select(F.col("node_id").alias("path"), "name"), "path")
-        found = scored.orderBy(F.desc(F.round("score", 9)), F.length("name"), "name", "path").limit(limit).select(F.col("path").alias("node_id"), "name", F.lit(2).alias("stage"))
+        docs = held.select(F.col("node_id").alias("doc_no"), F.col("node_id").alias("path"), "dl")
+        scored = prefix_scores(hits, docs, len(words)).join(held.select(F.col("node_id").alias("path"), "name"), "path")
+        found = settle(scored.orderBy(F.desc(F.round("score", 9)), F.length("name"), "name", "path").limit(limit).select(F.col("path").alias("node_id"), "name", F.lit(2).alias("stage")))
         if not found.isEmpty():
             return found
     return stage(symbols.where(n.contains(q)), 3)
