@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import id_kind
+from ..plans.settle import marked, settle
 
 KIND_ORDER = ("Configuration", "MetadataObject", "Module", "Routine", "External", "Platform")
 
@@ -215,10 +216,16 @@ def neighborhood(edges: DataFrame, starts: DataFrame, depth: int = 1, direction:
 
 
 def cards(nodes: DataFrame, edges: DataFrame, per_side: int = 40) -> DataFrame:
-    """Per node: degrees and the first ``per_side`` edges of each side as text, by kind, line and other end."""
+    """Per node: degrees and the first ``per_side`` edges of each side as text, by kind, line and other end.
+
+    Edges are made once, and only those are sorted that may end at one of the nodes.
+    """
+    ids = nodes.select("id")
+    near = marked(marked(edges.select("source_id", "target_id", "kind", "line", "detail"), "source_id", ids, "_source_id"), "target_id", ids, "_target_id")
+    near = settle(near.where("_source_id or _target_id"))
 
     def side(end: str, other: str, name: str) -> DataFrame:
-        own = edges.withColumnRenamed(end, "id")
+        own = near.where(f"_{end}").withColumnRenamed(end, "id")
         order = Window.partitionBy("id").orderBy("kind", F.col("line").asc_nulls_first(), other, F.col("detail").asc_nulls_first())
         # The rank alone, so that each task keeps the first few edges of a hub before the shuffle; counts combine too.
         ranked = own.select("id", other, "kind", "line", "detail", F.row_number().over(order).alias("r")).where(F.col("r") <= per_side)
