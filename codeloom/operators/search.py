@@ -130,7 +130,7 @@ def first_stage_search(symbols: DataFrame, query: str, limit: int = 20) -> DataF
         parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("name", "comment_head", "parameters") if c in symbols.columns]
         # The terms are read once: a row keeps only how many there are and how many begin with each word.
         t = symbols.select("node_id", "name", identifier_tokens(F.concat_ws(" ", *parts)).alias("t"))
-        held = settle(t.select("node_id", "name", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, w=w: x.startswith(w))).alias(f"tf{i}") for i, w in enumerate(words)]))
+        held = settle(t.select("node_id", "name", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x: x.startswith(w))).alias(f"tf{i}") for i, w in enumerate(words)]))  # noqa: B023
         hits = None
         for i in range(len(words)):
             one = held.select(F.col("node_id").alias("doc_no"), F.lit(i).alias("word"), F.col(f"tf{i}").alias("tf")).where("tf > 0")
