@@ -1,8 +1,8 @@
 """Types of variables, carried over aliases, copies and arguments of calls.
 
 A variable has the type of its last assignment: of the object that it creates, or of the variable that it takes its value
-from. Aliases of a routine so lead back to one root each, found once by pointer doubling. What then moves are only types of
-parameters, from call to call: each round joins the parameters that got a type in the round before.
+from. Aliases of a routine so lead back to one root each, found by pointer doubling over the arrays of the
+pass over the texts. What then moves are only types of parameters, from call to call: each round joins the parameters that got a type in the round before.
 """
 
 from __future__ import annotations
@@ -10,46 +10,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import code
 from .settle import settle
-from .tokens import Scan
-
-#: Methods that give an object of the type of their own; fixed values.
-COPIES = ("скопировать", "создать", "copy", "create")
-DOUBLINGS = 20
-
-
-def argument_names(scan: Scan) -> DataFrame:
-    """``path, at, place, name``: arguments that are one plain name; ``at`` is the bracket of the call, places count from 0."""
-    return scan.marked(["path", "text", "argument"], "argument").select("path", "argument.at", "argument.place", F.lower("text").alias("name"))
+from .tokens import SOURCES, Scan
 
 
 def last_sources(scan: Scan) -> DataFrame:
-    """``path, routine, key, name, type, source``: the last assignment of each variable, with the type it creates or the
-    variable whose value or copy it takes; neither where it is anything else."""
-    seen = scan.marked(["path", "block", "text", "f1", "given"], "given").select("path", "block", "text", "f1", "given")
-    bare = F.regexp_replace("text", r"\s+", "")
-    alias = (F.col("f1.text") == ";") & ~F.col("text").rlike(r"[.\[]")
-    copy = (F.col("f1.text") == "(") & F.lower(F.substring_index(bare, ".", -1)).isin(*COPIES) & (F.size(F.split(bare, r"\.")) == 2) & ~F.contains(bare, F.lit("["))
-    source = F.when(alias, F.lower("text")).when(copy, F.lower(F.substring_index(bare, ".", 1)))
-    taken = seen.select("path", "block", F.col("given").alias("name"), source.alias("source")).where("source is not null").groupBy("path", "block", "name").agg(F.min("source").alias("source"))
-    made = code.created(scan).join(taken, ["path", "block", "name"], "left")
-    last = made.groupBy("path", "routine", F.lower("name").alias("key")).agg(F.max(F.struct("at", "name", "type", "source")).alias("l"))
-    return last.select("path", "routine", "key", "l.name", "l.type", "l.source")
-
-
-def roots(variables: DataFrame) -> DataFrame:
-    """``path, routine, key, root`` of variables with a ``source``: where the chain of sources ends. Chains double their
-    reach each round; circles never end and have no root."""
-    steps = settle(variables.where("type is null and source is not null").select("path", "routine", "key", F.col("source").alias("root")))
-    for _ in range(DOUBLINGS):
-        ahead = steps.select("path", "routine", F.col("key").alias("root"), F.col("root").alias("next"))
-        new = settle(steps.join(ahead, ["path", "routine", "root"], "left").select("path", "routine", "key", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
-        steps = new.drop("moved")
-        if new.where("moved").isEmpty():
-            return steps
-    inner = steps.select("path", "routine", F.col("key").alias("root"))
-    return steps.join(inner, ["path", "routine", "root"], "left_anti")
+    """``path, routine, key, name, type, root``: the last assignment of each variable, with the type it creates, or where the
+    chain of variables ends whose value or copy it takes; neither where it is anything else or goes round in a circle."""
+    return scan.rows("variable", SOURCES["variable"]).select("path", "routine", F.lower("text").alias("key"), F.col("text").alias("name"), "type", "root")
 
 
 def propagated_types(scan: Scan, rounds: int = 3) -> DataFrame:
@@ -58,15 +26,13 @@ def propagated_types(scan: Scan, rounds: int = 3) -> DataFrame:
     Round 0 has what a routine itself creates. A parameter gets the type of the first call of its routine in the module, by
     place, that passes a typed name, once; it keeps it. Parameters that are assigned have the type of the assignment.
     """
-    variables = settle(last_sources(scan))
-    root = roots(variables)
+    variables = last_sources(scan)
+    root = variables.where("root is not null").select("path", "routine", "key", "root")
     created = variables.where("type is not null").select("path", "routine", "key", "type")
     parameters = scan.routines.select("path", F.col("name").alias("routine"), F.posexplode("parameters").alias("place", "name")).withColumn("key", F.lower("name"))
     free = settle(parameters.join(variables.select("path", "routine", "key"), ["path", "routine", "key"], "left_anti"))
-    calls = scan.calls().where("qualifier is null and routine is not null").select("path", "at", F.col("routine").alias("caller"), F.lower("method").alias("callee"))
-    passed = argument_names(scan).join(calls, ["path", "at"]).withColumnRenamed("name", "key")
-    known_root = root.select("path", F.col("routine").alias("caller"), "key", "root")
-    passed = passed.join(known_root, ["path", "caller", "key"], "left").withColumn("root", F.coalesce("root", "key"))
+    calls = scan.rows("call", SOURCES["call"]).where("call.qualifier is null and routine is not null and size(passed) > 0")
+    passed = calls.select("path", "at", F.col("routine").alias("caller"), F.lower("call.method").alias("callee"), F.inline("passed"))
     target = free.select("path", "routine", F.lower("routine").alias("callee"), "place", F.col("key").alias("parameter"))
     edges = settle(passed.join(target, ["path", "callee", "place"]).select("path", F.col("caller"), "root", "at", "routine", "parameter"))
     fresh = created.select("path", F.col("routine").alias("caller"), F.col("key").alias("root"), "type")

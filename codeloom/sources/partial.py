@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..plans import build, code
 from ..plans.settle import settle
-from ..plans.tokens import Scan
+from ..plans.tokens import TYPED, Scan
 
 POINTER = "_CURRENT"
 TABLES = ("routines", "types", "calls")
@@ -65,7 +65,7 @@ class PartialStore:
 
 def module_tables(texts: DataFrame, help_names: DataFrame | None = None) -> dict[str, DataFrame]:
     """Routines, types of variables and resolved calls of modules ``(path, text)``."""
-    scan = Scan(texts)
+    scan = Scan(texts, "header", "call", **TYPED)
     routines, types = scan.routines, code.last_types(texts, scan.routines, scan)
     calls = code.calls(texts, routines, scan, nested=False)
     return {"routines": routines, "types": types, "calls": resolved(calls, routines, help_names, types)}
@@ -88,7 +88,7 @@ def renew(store: PartialStore, changed: DataFrame, removed: DataFrame | None = N
     """
     gone = changed.select("path") if removed is None else changed.select("path").union(removed.select("path"))
     gone = settle(gone.distinct())
-    scan = Scan(changed)
+    scan = Scan(changed, "header", "call", **TYPED)
     new_types = settle(code.last_types(changed, scan.routines, scan))
     old = store.read("routines")
     before, now = old.join(gone, "path", "left_semi").select("path", "name"), scan.routines.select("path", "name")
